@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from roadlake.llm import decontaminate, sharding
+from roadlake.llm import decontaminate, secret_scan, sharding
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_secrets": secret_scan.op2_secrets,
         "op10_sharding": sharding.op10_sharding,
     }
 
