@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from roadlake.llm.shared import Scratch
 
@@ -90,11 +91,12 @@ def balanced_shards(spark: SparkSession, docs: DataFrame, shards: int, id_col: s
             F.crc32(raw.cast("binary")).alias("crc"),
         )
     )
+    schema = StructType([*rows.schema, StructField("range", IntegerType())])
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = min(MAX_RANGES, n // RANGE_ROWS + 1)
     cuts = _quantiles(_sample(rows, parts * SAMPLES_PER_RANGE, total, "size"), parts) if parts > 1 else []
     for _ in range(ROUNDS):
-        placed = rows.mapInArrow(_place(cuts), rows.schema.add("range", "int")) if cuts else rows.withColumn("range", F.lit(0))
+        placed = rows.mapInArrow(_place(cuts), schema) if cuts else rows.withColumn("range", F.lit(0))
         most = OVERFULL * (n / parts + 1)
         over = placed.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > most).orderBy(F.desc("n")).limit(MAX_RANGES).collect()
         more: set[tuple[int, int]] = set()
@@ -106,7 +108,7 @@ def balanced_shards(spark: SparkSession, docs: DataFrame, shards: int, id_col: s
         if not more:
             break
         cuts = sorted({*cuts, *more})
-    placed = rows.mapInArrow(_place(cuts), rows.schema.add("range", "int")) if cuts else rows.withColumn("range", F.lit(0))
+    placed = rows.mapInArrow(_place(cuts), schema) if cuts else rows.withColumn("range", F.lit(0))
     w = Window.partitionBy("range").orderBy("key", "tie")
     lined = scratch.cut(
         placed.select("id", "size", "crc", "range", F.row_number().over(w).alias("nth"), F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
