@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from roadlake.llm import decontaminate, secret_scan, sharding
+from roadlake.llm import decontaminate, secret_scan, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_secrets": secret_scan.op2_secrets,
+        "op5_simhash": simhash.op5_simhash,
         "op10_sharding": sharding.op10_sharding,
     }
 
