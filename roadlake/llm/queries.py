@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadlake.llm import decontaminate, secret_scan, sharding, simhash
+from roadlake.llm import decontaminate, secret_scan, sharding, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -10,9 +10,14 @@ def queries() -> dict:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_secrets": secret_scan.op2_secrets,
         "op5_simhash": simhash.op5_simhash,
+        "op6_repeats": suffix_dedup.op6_repeats,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.OP1_SQL, "op10_sharding": sharding.OP10_SQL}
+    return {
+        "op1_decontamination": decontaminate.OP1_SQL,
+        "op6_repeats": suffix_dedup.OP6_SQL,
+        "op10_sharding": sharding.OP10_SQL,
+    }
