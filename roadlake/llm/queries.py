@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadlake.llm import decontaminate, secret_scan, sharding, simhash, suffix_dedup
+from roadlake.llm import decontaminate, secret_scan, sharding, simhash, suffix_dedup, token_table, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_secrets": secret_scan.op2_secrets,
         "op5_simhash": simhash.op5_simhash,
         "op6_repeats": suffix_dedup.op6_repeats,
+        "op7_warc": warc.op7_warc,
+        "op8_token_table": token_table.op8_token_table,
         "op10_sharding": sharding.op10_sharding,
     }
 
@@ -19,5 +21,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontaminate.OP1_SQL,
         "op6_repeats": suffix_dedup.OP6_SQL,
+        "op7_warc": warc.OP7_SQL,
         "op10_sharding": sharding.OP10_SQL,
     }
