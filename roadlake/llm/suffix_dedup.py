@@ -40,13 +40,13 @@ from roadlake.llm.shared import Scratch, table
 LENGTH = 50
 GRAM = 18
 #: Bytes of text that are hashed at a time; it takes some 60 times as much memory.
-PIECE = 3 << 20
+PIECE = 1 << 20
 #: Bytes of texts whose contexts a task ships together.
-GROUP = 24 << 20
+GROUP = 8 << 20
 #: Bytes of text that one bucket of anchors stands for.
-BUCKET = 16 << 20
+BUCKET = 6 << 20
 #: Windows that are sorted at a time, unless one anchor alone has more.
-WINDOWS = 1 << 19
+WINDOWS = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -221,6 +221,13 @@ def _by_doc(ids: np.ndarray, tags: np.ndarray, data: np.ndarray) -> tuple[np.nda
     return ids[new], tags[new], _binary(data, np.r_[new, len(ids)])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that few texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 _SHIPPED = "bucket bigint, ids binary, tags binary, doc binary, anchors binary, contexts binary"
 
 
@@ -316,7 +323,7 @@ def _find(buckets: int, length: int, gram: int):
         ids: list[int] = []
         tags: list[int] = []
         held = 0
-        for b in batches:
+        for b in _slices(batches):
             for i, g, x in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if i is None or x is None or len(x) < length:
                     continue
@@ -397,7 +404,7 @@ def _fetch(buckets: int, length: int):
         ids: list[int] = []
         tags: list[int] = []
         held = 0
-        for b in batches:
+        for b in _slices(batches):
             cols = [b.column(c).to_pylist() for c in ("id", "tag", "data")]
             for i, g, d, x in zip(*cols, b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 records = np.frombuffer(b"".join(d), _ANCHOR)
@@ -456,8 +463,8 @@ def _repeats(length: int):
             low[where[o]] = np.repeat(np.minimum.reduceat(low[where[o]], h), np.diff(np.r_[h, len(o)]))
             at = upto
         spans, owners = [], []
-        for a in range(0, len(ids), WINDOWS // 16):
-            part = slice(a, a + WINDOWS // 16)
+        for a in range(0, len(ids), max(1, WINDOWS // 4)):
+            part = slice(a, a + max(1, WINDOWS // 4))
             n = count[part]
             rows = np.repeat(np.arange(len(n)), n)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -483,7 +490,7 @@ def _cut(keep_bytes: bool):
     """For mapInArrow over (id, text, data): what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             size, gone, runs, digest, kept = [], [], [], [], []
             for x, d in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("data").to_pylist(), strict=True):
                 x = x or b""
