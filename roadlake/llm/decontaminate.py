@@ -124,31 +124,60 @@ def _scan(patterns: Broadcast | None, first: bool, last: bool, keep_text: bool):
     return run
 
 
-def contamination(
-    spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """id, n_words, n_hit, items (ids as sorted strings), spans (code points, end exclusive), contaminated."""
+def _blocks(items: DataFrame, item_id_col: str, item_text_col: str, window: int, block_bytes: int) -> Iterator[tuple[dict[str, tuple[str, ...]], bool]]:
+    """(windows and their items, whether it is the last) of each block."""
     items = items.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = size // block_bytes + 1
-    id_type = docs.schema[id_col].dataType.simpleString()
-    df, scratch = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), Scratch(spark, "contamination")
+    blocks = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block_bytes + 1
     for n in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n) if blocks > 1 else items
         windows: dict[str, set[str]] = defaultdict(set)
         for item, text in block.collect():  # about block_bytes
             for x in _windows(text, window):
                 windows[x].add(item)
-        last = n == blocks - 1
-        patterns = spark.sparkContext.broadcast({"key": uuid4().hex, "windows": {k: tuple(v) for k, v in windows.items()}})
+        yield {k: tuple(v) for k, v in windows.items()}, n == blocks - 1
+
+
+def contamination(
+    spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """id, n_words, n_hit, items (ids as sorted strings), spans (code points, end exclusive), contaminated."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    df, scratch = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), Scratch(spark, "contamination")
+    first = True
+    for windows, last in _blocks(items, item_id_col, item_text_col, window, block_bytes):
+        patterns = spark.sparkContext.broadcast({"key": uuid4().hex, "windows": windows})
         schema = f"id {id_type}, " + "text string, " * (not last) + "n_words bigint, hits array<bigint>, items array<string>" + ", spans array<struct<start:bigint,end:bigint>>" * last
-        df = df.mapInArrow(_scan(patterns, n == 0, last, not last), schema)
+        df = df.mapInArrow(_scan(patterns, first, last, not last), schema)
+        first = False
         if not last:
             df = scratch.cut(df)
     n_hit = F.expr("aggregate(sequence(0, size(hits) div 2), 0L, (n, i) -> n + coalesce(get(hits, 2 * i + 1) - get(hits, 2 * i), 0L))")
     return df.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "spans", (F.size("hits") > 0).alias("contaminated"))
 
 
+def keep_clean(
+    spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has no window of a test item."""
+    text_at = docs.columns.index(text_col)
+
+    def without(patterns: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(patterns) if patterns.value["windows"] else None
+            for b in batches:
+                clean = []
+                for text in b.column(text_at).cast(pa.binary()).to_pylist():
+                    w = words(text) if text and automaton else []
+                    clean.append(not w or next(automaton.iter(f" {b' '.join(w).decode('latin-1')} "), None) is None)
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for windows, _ in _blocks(items, item_id_col, item_text_col, window, block_bytes):
+        docs = docs.mapInArrow(without(spark.sparkContext.broadcast({"key": uuid4().hex, "windows": windows})), docs.schema)
+    return docs
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every test item."""
     found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadlake.llm import decontaminate, packing, pivot_search, secret_scan, sharding, simhash, suffix_dedup, token_table, warc
+from roadlake.llm import decontaminate, packing, pivot_search, secret_scan, sharding, simhash, suffix_dedup, token_table, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_repeats": suffix_dedup.op6_repeats,
         "op7_warc": warc.op7_warc,
         "op8_token_table": token_table.op8_token_table,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_sharding": sharding.op10_sharding,
     }
 
