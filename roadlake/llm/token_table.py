@@ -13,7 +13,7 @@ the filter, finds the block by binary search in the index, and reads that block
 
 Documents are range-partitioned by id, so that shards follow each other in id order, and a task encodes and writes its
 range as it streams by. Words recur, and the tokenizer's pre-tokens never reach over the space before a word, so a task
-encodes each spaced word once and remembers its ids; texts with two spaces in a row go to the tokenizer whole.
+encodes each spaced word once and remembers its ids; texts where that is less plain go to the tokenizer whole.
 
 Defined results: a null or empty text has the end id alone; null ids sort first; rows with one id are all kept, in text
 order; an empty table gives no files and no rows; other columns are not read, so their names can't clash.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -46,9 +47,13 @@ ROLL = 64 << 20
 #: Bytes of text that one task encodes.
 TASK = 24 << 20
 _BITS_PER_KEY, _PROBES = 10, 7
-#: Remembered words of a task, and the longest of them.
+#: Words that a worker remembers before it starts anew, and the longest of them.
 WORDS, WORD_CHARS = 1 << 19, 48
 
+_JOIN = "\x01"
+_TAIL = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)(?=[ \n]|\Z)")
+_TAIL_KEY = f" {_JOIN}\\1"
+
 
 def _varint(n: int) -> bytes:
     out = bytearray()
@@ -196,30 +201,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(f"<u{width}")
-        self.spaced: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of each key's text. Printable words go as lines of one text, in which each line's end is a pre-token."""
+        plain = [k for k in keys if k.isprintable() and k] if len(self.newline) == 1 else []  # of white space, only " " is printable
+        out: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(ids == self.newline[0]) * ids.itemsize
+            if len(ends) == len(plain) - 1:
+                raw = ids.tobytes()
+                out = {k: raw[a:b] for k, a, b in zip(plain, [0, *(ends + ids.itemsize).tolist()], [*ends.tolist(), len(raw)], strict=True)}
+        rest = [k for k in keys if k not in out]
+        return out | dict(zip(rest, self._encode([k.lstrip(_JOIN) if k[:1] in (_JOIN, "\n") else " " + k for k in rest]), strict=True))
+
+    def _split(self, text: str) -> list[str] | None:
+        """The text's first piece and the keys of the others; None if the tokenizer should see the text whole.
+
+        A key stands for a space and itself; with a line end in front for itself; with _JOIN in front for what follows
+        that. Pre-tokens end before a space or a line end after a non-space, and between a letter or digit and a run of
+        punctuation that white space follows.
+        """
+        if "  " in text or any(t in text for t in self.added):
+            return None
+        if text.replace("\n", "").isprintable() and " \n" not in text and "\n " not in text and "\n\n" not in text:
+            return _TAIL.sub(_TAIL_KEY, text).replace("\n", " \n").split(" ")
+        pieces = text.split(" ")
+        return None if any(p[:1] in (_JOIN, "\n") for p in pieces[1:]) else pieces
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [n for n, t in enumerate(texts) if "  " in t]
+        split = list(map(self._split, texts))
+        whole = [n for n, pieces in enumerate(split) if pieces is None]
         out: list[bytes] = [b""] * len(texts)
         for n, ids in zip(whole, self._encode([texts[n] for n in whole]), strict=True):
             out[n] = ids
-        skip = set(whole)
-        split = [(n, t.split(" ")) for n, t in enumerate(texts) if n not in skip]
-        known = self.spaced
-        if len(known) > WORDS:
-            known.clear()
-        new = list({w for _, words in split for w in words[1:] if w not in known})
-        fresh = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
-        known.update(fresh)
-        firsts = self._encode([words[0] for _, words in split])
-        for (n, words), first in zip(split, firsts, strict=True):
-            out[n] = first + b"".join([known[w] for w in words[1:]])
-        for w in new:
+        parts = [(n, pieces) for n, pieces in enumerate(split) if pieces is not None]
+        firsts = self._encode([pieces[0] for _, pieces in parts])
+        needed: set[str] = set()
+        for _, pieces in parts:
+            del pieces[0]
+            needed.update(pieces)
+        # The batch's words go into a small dictionary of their own, which stays in the processor's cache.
+        mine = dict(zip(needed, map(self.known.get, needed), strict=True))
+        fresh = self._words([w for w, ids in mine.items() if ids is None])
+        mine.update(fresh)
+        for (n, pieces), first in zip(parts, firsts, strict=True):
+            out[n] = first + b"".join(map(mine.__getitem__, pieces))
+        if len(self.known) > WORDS:
+            self.known = {}
+        self.known.update(fresh)
+        for w in fresh:
             if len(w) > WORD_CHARS:
-                del known[w]
+                del self.known[w]
         return out
 
 
@@ -241,8 +280,8 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, roll: int):
             return pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int32()), "nth": pa.array([nth], pa.int32()), "records": pa.array([len(shard.keys)], pa.int64()), "tokens": pa.array([shard.tokens], pa.int64())})
 
         for b in batches:
-            for at in range(0, len(b), 500):
-                piece = b.slice(at, 500)
+            for at in range(0, len(b), 1000):
+                piece = b.slice(at, 1000)
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 for doc, ids in zip(piece.column("id").to_pylist(), encoder.encode(texts), strict=True):
                     shard.add(key_of(doc), ids + end)

@@ -18,8 +18,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def texts():
     rnd = random.Random(1)
-    bits = ["the", "Don't", "é", "straße", "12,345", "\n", "\n\n", "\t", " ", "  ", "   ", " ", "　x", "\x1c", "!\x1c!", "😀", "<|endoftext|>", "a\r\n", "'s", "…", "x" * 60, "tail "]
-    return [None, "", " ", "  ", "a ", " a", "a  b", "a \nb", "a\n b", "a  \n b "] + [rnd.choice(["", " "]).join(rnd.choice(bits) for _ in range(rnd.randint(1, 40))) for _ in range(300)]
+    bits = ["the", "Don't", "é", "straße", "12,345", "\n", "\n\n", "\t", " ", "  ", "   ", " ", "　x", "\x1c", "!\x1c!", "😀", "<|endoftext|>", "a\r\n", "'s", "…", "x" * 60, "tail ", "end.", "end", "50%", "%%%", "it's", "it's'", "é,", "ß.", "字。", "\x01", "\x01a", ",", "a_", "_", "²!", "x\n", "\ny", "w.\nV", "\u00a0", "\u2003z"]
+    return [None, "", " ", "  ", "a ", " a", "a  b", "a \nb", "a\n b", "a  \n b "] + [rnd.choice(["", " "]).join(rnd.choice(bits) for _ in range(rnd.randint(1, 40))) for _ in range(900)]
 
 
 def test_encoder_equals_the_tokenizer_on_whole_texts():
