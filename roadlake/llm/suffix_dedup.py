@@ -26,7 +26,6 @@ are not read, so their names can't clash. Ids are integers.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -50,8 +49,8 @@ WINDOWS = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_ANCHOR = np.dtype([("a", "<u8"), ("s", "<u8"), ("n", "u1")])
-_SPAN = np.dtype([("s", "<u8"), ("e", "<u8")])
+_ANCHOR = np.dtype([("a", "<u8"), ("s", "<u4"), ("n", "u1")])
+_SPAN = np.dtype([("s", "<u4"), ("e", "<u4")])  # Spark's strings end below 2 ** 31 bytes
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -346,9 +345,9 @@ def _joined_spans(spans: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
         return spans, doc
     order = np.lexsort((spans["s"], doc))
     spans, doc = spans[order], doc[order]
-    shift = (np.r_[0, np.cumsum(doc[1:] != doc[:-1])]).astype(np.uint64) << np.uint64(40)  # documents one after the other
-    reach = np.maximum.accumulate(spans["e"] + shift)
-    new = np.flatnonzero(np.r_[True, (spans["s"] + shift)[1:] > reach[:-1]])
+    shift = np.r_[0, np.cumsum(doc[1:] != doc[:-1])].astype(np.int64) << 32  # documents one after the other
+    reach = np.maximum.accumulate(spans["e"].astype(np.int64) + shift)
+    new = np.flatnonzero(np.r_[True, (spans["s"].astype(np.int64) + shift)[1:] > reach[:-1]])
     last = np.r_[new[1:], len(spans)] - 1
     out = np.zeros(len(new), _SPAN)
     out["s"], out["e"] = spans["s"][new], reach[last] - shift[last]
@@ -500,7 +499,7 @@ def _cut(keep_bytes: bool):
                 if d:
                     spans = np.frombuffer(b"".join(d), _SPAN)
                     spans, _ = _joined_spans(spans, np.zeros(len(spans), np.int64))
-                    n = int((spans["e"] - spans["s"]).sum())
+                    n = int((spans["e"].astype(np.int64) - spans["s"]).sum())
                     starts, ends = [0, *spans["e"].tolist()], [*spans["s"].tolist(), len(x)]
                     left = b"".join(x[a:e] for a, e in zip(starts, ends, strict=True))
                 size.append(len(x))
@@ -527,24 +526,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     buckets = max(12, total // BUCKET)
     shared = rows.mapInArrow(_find(buckets, length, gram), _SHIPPED).groupBy("bucket").applyInArrow(_shared, _FOUND)
     shared = scratch.cut(shared)
-    _release(spark)
     asked = shared.where("kind = 0").groupBy("id", "tag").agg(F.collect_list("data").alias("data"))
     contexts = rows.join(asked.hint("shuffle_hash"), ["id", "tag"]).mapInArrow(_fetch(buckets, length), _SHIPPED)
     spans = scratch.cut(contexts.groupBy("bucket").applyInArrow(_repeats(length), _FOUND))
-    del contexts
-    _release(spark)
     every = spans.union(shared.where("kind = 1")).groupBy("id", "tag").agg(F.collect_list("data").alias("data"))
     out = rows.join(every.hint("shuffle_hash"), ["id", "tag"], "left").select("id", "text", "data")
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
     return out.mapInArrow(_cut(keep_bytes), schema).withColumnRenamed("id", id_col)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffles that nothing reads any more; the table just written holds their result."""
-    gc.collect()
-    spark._jvm.System.gc()  # noqa: SLF001
-
-
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, without strings of 50 bytes that a smaller document has."""
     return remove_repeats(spark, table(spark, sf_dir, "documents"), keep_bytes=False)
