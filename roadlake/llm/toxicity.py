@@ -17,7 +17,6 @@ not read, so their names can't clash.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,16 +55,57 @@ def ratios(text: bytes) -> list[float]:
     return [share(_SYMBOLS), share(_DIGITS), share(_UPPER), text.count(b"\n") / max(1, n), float(n > 0)]
 
 
+class Words:
+    """Which words each row of a sample has, as numbers: ``code[i]`` is a word of row ``row[i]``. Words are known by a 32-bit hash until names are asked for."""
+
+    def __init__(self, hashes: list[np.ndarray]) -> None:
+        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint32)
+        self.hashes, code = np.unique(flat, return_inverse=True)
+        self.code = code.astype(np.int32)
+        self.row = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])
+        self.rows = len(hashes)
+
+    def presence(self, vocabulary: np.ndarray) -> np.ndarray:
+        """Rows by words, 1 where the row has the word."""
+        place = np.full(len(self.hashes), -1, np.int32)
+        place[vocabulary] = np.arange(len(vocabulary))
+        at = place[self.code]
+        out = np.zeros((self.rows, len(vocabulary)), np.float32)
+        out[self.row[at >= 0], at[at >= 0]] = 1
+        return out
+
+    def pick(self, some: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The words whose presence in the rows ``some`` goes most with the label, by chi-square; ties by the hash."""
+        n, n1 = len(some), int(y[some].sum())
+        mine = np.zeros(self.rows, bool)
+        mine[some] = True
+        of = mine[self.row]
+        every = np.bincount(self.code[of], minlength=len(self.hashes)).astype(np.float64)
+        inside = np.bincount(self.code[of & (y[self.row] > 0)], minlength=len(self.hashes))
+        expected = every * n1 / n
+        spread = expected * (n - n1) * (n - every) / (n * n)
+        chi = np.divide((inside - expected) ** 2, spread, out=np.zeros(len(every)), where=spread > 0)
+        order = np.lexsort((np.arange(len(chi)), -chi))[:FEATURES]
+        return order[chi[order] >= CHI_SQUARE]
+
+
+def hashed(found: set[bytes]) -> np.ndarray:
+    from xxhash import xxh32_intdigest
+
+    return np.array(sorted({xxh32_intdigest(w) for w in found}), np.uint32)
+
+
 @dataclass
 class Linear:
     """A logistic model of some words, the ratios and earlier categories' probabilities."""
 
-    words: list[bytes] = field(default_factory=list)
+    codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
     rate: float | None = None
+    words: dict[bytes, int] = field(default_factory=dict)
 
     def predict(self, present: np.ndarray, dense: np.ndarray) -> np.ndarray:
         if self.rate is not None:
@@ -74,41 +114,22 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -35, 35)))
 
 
-def presence(texts: list[set[bytes]], vocabulary: list[bytes]) -> np.ndarray:
-    at = {w: n for n, w in enumerate(vocabulary)}
-    out = np.zeros((len(texts), len(vocabulary)), np.float32)
+def presence(texts: list[set[bytes]], vocabulary: dict[bytes, int], columns: int) -> np.ndarray:
+    out = np.zeros((len(texts), columns), np.float32)
     for row, found in enumerate(texts):
-        for w in at.keys() & found:
-            out[row, at[w]] = 1
+        for w in vocabulary.keys() & found:
+            out[row, vocabulary[w]] = 1
     return out
 
 
-def pick_words(texts: list[set[bytes]], y: np.ndarray) -> list[bytes]:
-    """The words whose presence goes most with the label, by chi-square; ties by the word."""
-    n, n1 = len(y), int(y.sum())
-    inside, every = Counter(), Counter()
-    for found, label in zip(texts, y.tolist(), strict=True):
-        every.update(found)
-        if label:
-            inside.update(found)
-    scored = []
-    for w, k in every.items():
-        a = inside[w]
-        expected = k * n1 / n
-        if expected and k < n:
-            chi = (a - expected) ** 2 * n / (expected * (n - n1) * (n - k) / n) if n1 < n else 0.0
-            if chi >= CHI_SQUARE:
-                scored.append((-chi, w))
-    return [w for _, w in sorted(scored)[:FEATURES]]
-
-
-def fit(texts: list[set[bytes]], dense: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 300) -> Linear:
-    """Ridge-penalised logistic regression by accelerated gradient steps."""
-    if not len(y) or y.min() == y.max():
-        return Linear(rate=float(y.mean()) if len(y) else 0.0)
-    vocabulary = pick_words(texts, y)
+def fit(words_: Words, some: np.ndarray, dense: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 300) -> Linear:
+    """Ridge-penalised logistic regression on the rows ``some``, by accelerated gradient steps."""
+    if not len(some) or y[some].min() == y[some].max():
+        return Linear(rate=float(y[some].mean()) if len(some) else 0.0)
+    codes = words_.pick(some, y)
+    present, dense, y = words_.presence(codes)[some], dense[some], y[some]
     mean, scale = dense.mean(0), np.maximum(dense.std(0), 1e-6)
-    x = np.c_[presence(texts, vocabulary), (dense - mean) / scale, np.ones(len(y))].astype(np.float32)
+    x = np.c_[present, (dense - mean) / scale, np.ones(len(y))].astype(np.float32)
     ridge = np.r_[np.full(x.shape[1] - 1, penalty / len(y)), 0.0]
     v = np.ones(x.shape[1], np.float32)
     for _ in range(30):  # the largest eigenvalue, for the step length
@@ -121,7 +142,7 @@ def fit(texts: list[set[bytes]], dense: np.ndarray, y: np.ndarray, penalty: floa
         new = ahead - step * (x.T @ (p - y).astype(np.float32) / len(y) + ridge * ahead)
         t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         ahead, w = new + (old - 1) / t * (new - w), new
-    return Linear(vocabulary, w[:-1], float(w[-1]), mean, scale)
+    return Linear(codes, w[:-1], float(w[-1]), mean, scale)
 
 
 class Chain:
@@ -131,52 +152,86 @@ class Chain:
         self.models = models
 
     @classmethod
-    def train(cls, texts: list[set[bytes]], dense: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> Chain:
+    def train(cls, words_: Words, dense: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> Chain:
         """``labels`` has a column for each category; ``folds`` numbers the rows' folds."""
-        models = []
+        models, every = [], np.arange(words_.rows)
         for k in range(labels.shape[1]):
             y = labels[:, k].astype(np.float64)
-            models.append(fit(texts, dense, y))
+            models.append(fit(words_, every, dense, y))
             if k + 1 < labels.shape[1]:
                 out = np.zeros(len(y))
                 for f in np.unique(folds):
-                    mine, rest = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
-                    model = fit([texts[i] for i in rest], dense[rest], y[rest])
-                    out[mine] = model.predict(presence([texts[i] for i in mine], model.words), dense[mine])
+                    mine = np.flatnonzero(folds == f)
+                    model = fit(words_, np.flatnonzero(folds != f), dense, y)
+                    out[mine] = model.predict(words_.presence(model.codes)[mine], dense[mine])
                 dense = np.c_[dense, out]
         return cls(models)
 
+    def name_words(self, words_: Words, names: dict[int, list[bytes]]) -> Chain:
+        """``names`` has the words of each hash that a model uses."""
+        for m in self.models:
+            m.words = {w: column for column, code in enumerate(m.codes) for w in names.get(int(words_.hashes[code]), [])}
+        return self
+
+    def hashes(self, words_: Words) -> set[int]:
+        return {int(words_.hashes[c]) for m in self.models for c in m.codes}
+
     def predict(self, texts: list[set[bytes]], dense: np.ndarray) -> np.ndarray:
         out = np.zeros((len(texts), len(self.models)))
         for k, model in enumerate(self.models):
-            out[:, k] = model.predict(presence(texts, model.words), np.c_[dense, out[:, :k]])
+            out[:, k] = model.predict(presence(texts, model.words, len(model.codes)), np.c_[dense, out[:, :k]])
         return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (id, text): (id, words, ratios), the distinct words joined by spaces."""
-    for b in batches:
-        texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([b" ".join(words(t)) for t in texts], pa.binary()), pa.array([ratios(t) for t in texts], pa.list_(pa.float64()))], ["id", "words", "ratios"])
+    """For mapInArrow over (id, text): (id, words, hashes, ratios), the distinct words joined by spaces."""
+    for whole in batches:
+        for at in range(0, len(whole), 1000):
+            b = whole.slice(at, 1000)
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            found = [words(t) for t in texts]
+            cols = {"id": b.column("id"), "words": pa.array([b" ".join(f) for f in found], pa.binary()), "hashes": pa.array([hashed(f).tobytes() for f in found], pa.binary()), "ratios": pa.array([ratios(t) for t in texts], pa.list_(pa.float64()))}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+def _named(wanted: set[int]):
+    """For mapInArrow over (words): the words whose hash is wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh32_intdigest
+
+        for b in batches:
+            found = {w for t in b.column("words").to_pylist() for w in t.split() if xxh32_intdigest(w) in wanted}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["word"])
+
+    return run
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", sample: int = SAMPLE) -> Chain:
-    """A chain fitted on up to ``sample`` labelled documents."""
+    """A chain fitted on up to ``sample`` labelled documents. The driver holds 4 bytes for each of their distinct words, a few ratios and the labels."""
+    from xxhash import xxh32_intdigest
+
+    scratch = Scratch(spark, "toxicity")
     known = labels.select(F.col(label_id_col).alias("id"), *[F.expr(f"cast({c} as int)").alias(f"y{n}") for n, (_, c) in enumerate(chain)]).dropna()
-    drawn = known.groupBy("id").agg(*[F.max(f"y{n}").alias(f"y{n}") for n in range(len(chain))]).withColumn("draw", F.xxhash64("id")).orderBy("draw", "id").limit(sample)
-    drawn = Scratch(spark, "toxicity").cut(drawn)
+    drawn = scratch.cut(known.groupBy("id").agg(*[F.max(f"y{n}").alias(f"y{n}") for n in range(len(chain))]).withColumn("draw", F.xxhash64("id")).orderBy("draw", "id").limit(sample))
     mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn.select("id")), "id", "left_semi")  # at most `sample` ids
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = mine.mapInArrow(_features, f"id {id_type}, words binary, ratios array<double>").join(F.broadcast(drawn), "id").orderBy("draw", "id", "words")
-    texts: list[set[bytes]] = []
-    dense, y, folds = [], [], []
-    one: dict[bytes, bytes] = {}  # a word is held once
-    for r in rows.toLocalIterator():
-        texts.append({one.setdefault(w, w) for w in bytes(r.words).split()})
+    rows = scratch.cut(mine.mapInArrow(_features, f"id {id_type}, words binary, hashes binary, ratios array<double>").join(F.broadcast(drawn), "id"))
+    hashes, dense, y, folds = [], [], [], []
+    for r in rows.drop("words").orderBy("draw", "id", "hashes").toLocalIterator():
+        hashes.append(np.frombuffer(r.hashes, np.uint32))
         dense.append(r.ratios)
         y.append([r[f"y{n}"] for n in range(len(chain))])
         folds.append(r.draw % FOLDS)
-    return Chain.train(texts, np.array(dense).reshape(len(y), _RATIOS), np.array(y).reshape(len(y), len(chain)), np.array(folds))
+    words_ = Words(hashes)
+    del hashes
+    model = Chain.train(words_, np.array(dense).reshape(len(y), _RATIOS), np.array(y).reshape(len(y), len(chain)), np.array(folds))
+    names: dict[int, list[bytes]] = {}
+    wanted = model.hashes(words_)
+    if wanted:  # the names of at most FEATURES words a model
+        for (w,) in rows.select("words").mapInArrow(_named(wanted), "word binary").distinct().orderBy("word").collect():
+            names.setdefault(xxh32_intdigest(bytes(w)), []).append(bytes(w))
+    return model.name_words(words_, names)
 
 
 def _score(model: Broadcast, names: list[str]):

@@ -47,10 +47,16 @@ def test_later_models_see_out_of_fold_probabilities(monkeypatch):
     y = np.array([[1 - q, t] for _, q, t in labels])
     folds = np.arange(400) % X.FOLDS
     seen, original = [], X.fit
-    monkeypatch.setattr(X, "fit", lambda t, d, v: seen.append((len(v), d.shape[1])) or original(t, d, v))
-    chain = X.Chain.train(texts, dense, y, folds)
+    monkeypatch.setattr(X, "fit", lambda w, some, d, v: seen.append((len(some), d.shape[1])) or original(w, some, d, v))
+    words = X.Words([X.hashed(t) for t in texts])
+    chain = X.Chain.train(words, dense, y, folds)
     assert seen == [(400, 5), *[(320, 5)] * 5, (400, 6)]
-    assert chain.predict(texts, dense).shape == (400, 2)
+    names = {}
+    for w in set().union(*texts):
+        names.setdefault(int(X.hashed({w})[0]), []).append(w)
+    p = chain.name_words(words, names).predict(texts, dense)
+    assert p.shape == (400, 2) and {w for w in chain.models[1].words} >= {w.encode() for w in BAD}
+    assert ((p[:, 1] >= 0.5) == (y[:, 1] == 1)).mean() >= 0.99
 
 
 def test_no_labels_one_class_and_empty_table(spark):
