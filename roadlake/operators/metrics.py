@@ -32,13 +32,21 @@ def best_truth(scored: DataFrame, keys: list[str] = ("frame_id", "class")) -> Da
     return scored.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
-def judge(best: DataFrame, thresholds: list[int], keys: list[str] = ("frame_id", "class")) -> DataFrame:
-    """A row for each prediction and threshold (percent), with tp 1 or 0. Thresholds multiply rows by their fixed number."""
-    each = best.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    hit = F.coalesce(F.col("inter") * 100 >= F.col("threshold") * F.col("uni"), F.lit(False)) & F.col("gt_id").isNotNull()
-    each = each.withColumn("hit", F.when(hit, F.col("gt_id")))
-    w = Window.partitionBy(*keys, "threshold", "hit").orderBy(F.desc("confidence"), "pred_id")
-    return each.withColumn("tp", (F.col("hit").isNotNull() & (F.row_number().over(w) == 1)).cast("int"))
+def claims(best: DataFrame, thresholds: list[int], keys: list[str] = ("frame_id", "class")) -> DataFrame:
+    """Adds, for each prediction, ``reach``, the highest threshold (percent) that its IoU meets, and ``before``, the
+    highest that a more confident prediction of the same box meets. It is a true positive at t just if before < t <= reach,
+    so one window on each box's few claims serves all thresholds."""
+    meets = [F.when(F.col("inter") * 100 >= t * F.col("uni"), t).otherwise(0) for t in sorted(thresholds)]
+    reach = F.coalesce(F.when(F.col("gt_id").isNotNull(), F.greatest(*meets, F.lit(0))), F.lit(0))
+    w = Window.partitionBy(*keys, "gt_id").orderBy(F.desc("confidence"), "pred_id").rowsBetween(Window.unboundedPreceding, -1)
+    return best.withColumn("reach", reach).withColumn("before", F.coalesce(F.max("reach").over(w), F.lit(0)))
+
+
+def judge(claimed: DataFrame, thresholds: list[int]) -> DataFrame:
+    """A row for each prediction and threshold, with hit (the box it claims, if any) and tp 1 or 0."""
+    each = claimed.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    met = F.col("reach") >= F.col("threshold")
+    return each.withColumns({"hit": F.when(met, F.col("gt_id")), "tp": (met & (F.col("before") < F.col("threshold"))).cast("int")}).drop("reach", "before")
 
 
 def precision_recall_f1(judged: DataFrame, truths: DataFrame, by: list[str], least_confidence: float = 0.5) -> DataFrame:
@@ -52,41 +60,66 @@ def precision_recall_f1(judged: DataFrame, truths: DataFrame, by: list[str], lea
     return out.select(*by, "threshold", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("n_truths") - F.col("tp")).alias("fn"), p.alias("precision"), r.alias("recall"), scalar.f1(p, r).alias("f1"))
 
 
-def average_precision(judged: DataFrame, truths: DataFrame, by: list[str] = ("class",)) -> DataFrame:
-    """ap of each group and threshold.
+#: Steps of confidence by which long lines of predictions are cut into windows of their own.
+STEPS = 1024
 
-    Ranks and cumulative hits are prefix sums over (confidence desc, id); the envelope, a suffix maximum, is a prefix
-    maximum of the reversed order, as suffix frames cost a pass for each row. Groups with one confidence-ordered line of
-    predictions are long windows by nature; they sort and spill, and hold no group in memory.
-    """
-    by = list(by)
+
+def _step():
+    """0 for the most confident step."""
+    return (F.lit(STEPS) - F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))) * STEPS)).cast("int")
+
+
+def _running(rows: DataFrame, by: list[str], out: str) -> DataFrame:
+    """Adds each row's place (from 1) by falling confidence, then id, in its group. Steps of confidence are numbered by
+    themselves and moved by the counts of the steps before, so no group is one task's window."""
+    rows = rows.withColumn("_step", _step())
+    counts = rows.groupBy(*by, "_step").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)  # at most STEPS rows
+    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*by, "_step").orderBy(F.desc("confidence"), "pred_id")
+    return rows.withColumn("_nth", F.row_number().over(within)).join(base, [*by, "_step"]).withColumn(out, F.col("_base") + F.col("_nth")).drop("_base", "_nth", "_step")
+
+
+def _area(tps: DataFrame, by: list[str]) -> DataFrame:
+    """Sum over true positives (with ``rank``) of the best precision at their recall or beyond: a suffix maximum, taken
+    in each step of confidence from its far end, and over the steps beyond."""
+    line = _running(tps, by, "hits").withColumns({"p": F.col("hits") / F.col("rank"), "_step": _step()})
+    steps = line.groupBy(*by, "_step").agg(F.max("p").alias("_best"))
+    beyond = Window.partitionBy(*by).orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)  # at most STEPS rows
+    later = steps.withColumn("_later", F.coalesce(F.max("_best").over(beyond), F.lit(0.0))).drop("_best")
+    within = Window.partitionBy(*by, "_step").orderBy(F.asc("confidence"), F.desc("pred_id")).rowsBetween(Window.unboundedPreceding, 0)
+    hull = line.withColumn("_here", F.max("p").over(within)).join(later, [*by, "_step"])
+    return hull.groupBy(*by).agg(F.sum(F.greatest("_here", "_later")).alias("area"))
+
+
+def _per_truth(area: DataFrame, truths: DataFrame, by: list[str], thresholds: list[int]) -> DataFrame:
     total = truths.groupBy(*by).agg(F.count("*").alias("n_truths"))
-    down = Window.partitionBy(*by, "threshold").orderBy(F.desc("confidence"), "pred_id")
-    up = Window.partitionBy(*by, "threshold").orderBy(F.asc("confidence"), F.desc("pred_id"))
-    so_far = Window.unboundedPreceding, Window.currentRow
-    ranked = judged.withColumns({"rank": F.row_number().over(down), "hits": F.sum("tp").over(down.rowsBetween(*so_far))})
-    hull = ranked.withColumn("envelope", F.max(F.col("hits") / F.col("rank")).over(up.rowsBetween(*so_far)))
-    area = hull.groupBy(*by, "threshold").agg(F.sum(F.col("tp") * F.col("envelope")).alias("area"))
-    thresholds = judged.select("threshold").distinct()
-    frame = total.crossJoin(F.broadcast(thresholds))
+    frame = total.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     return frame.join(area, [*by, "threshold"], "left").select(*by, "threshold", "n_truths", (F.coalesce("area", F.lit(0.0)) / F.col("n_truths")).alias("ap"))
 
 
-def average_precision_101(judged: DataFrame, truths: DataFrame, by: list[str] = ("class",)) -> DataFrame:
+def average_precision(claimed: DataFrame, truths: DataFrame, thresholds: list[int] = LADDER, by: list[str] = ("class",)) -> DataFrame:
+    """ap of each group and threshold. Ranks don't depend on the threshold; only true positives are multiplied by it."""
+    by = list(by)
+    ranked = _running(claimed.select(*by, "pred_id", "confidence", "reach", "before"), by, "rank").where("reach > before")
+    each = ranked.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: (t <= F.col("reach")) & (t > F.col("before")))))
+    return _per_truth(_area(each, [*by, "threshold"]), truths, by, thresholds)
+
+
+def average_precision_101(claimed: DataFrame, truths: DataFrame, thresholds: list[int] = LADDER, by: list[str] = ("class",)) -> DataFrame:
     """AP by interpolation at recalls 0, 0.01, ... 1: the mean of the best precision at that recall or beyond."""
     by = list(by)
+    ranked = _running(claimed.select(*by, "pred_id", "confidence", "reach", "before"), by, "rank").where("reach > before")
+    tps = ranked.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: (t <= F.col("reach")) & (t > F.col("before")))))
+    group = [*by, "threshold"]
     total = truths.groupBy(*by).agg(F.count("*").alias("n_truths"))
-    down = Window.partitionBy(*by, "threshold").orderBy(F.desc("confidence"), "pred_id")
-    so_far = Window.unboundedPreceding, Window.currentRow
-    ranked = judged.withColumns({"rank": F.row_number().over(down), "hits": F.sum("tp").over(down.rowsBetween(*so_far))})
-    best = ranked.where("tp = 1").join(total, by).withColumn("step", F.floor(F.col("hits") * 100 / F.col("n_truths")).cast("int"))
-    # The best precision among hits whose recall is in [step, step + 1) percent; then a suffix maximum over 101 steps.
-    steps = best.groupBy(*by, "threshold", "step").agg(F.max(F.col("hits") / F.col("rank")).alias("p"))
-    grid = total.crossJoin(F.broadcast(judged.select("threshold").distinct())).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(100))))
-    filled = grid.join(steps, [*by, "threshold", "step"], "left")
-    up = Window.partitionBy(*by, "threshold").orderBy(F.desc("step")).rowsBetween(*so_far)
-    hull = filled.withColumn("p", F.coalesce(F.max("p").over(up), F.lit(0.0)))
-    return hull.groupBy(*by, "threshold").agg(F.avg("p").alias("ap"))
+    # The hit that takes recall to k / n serves the recalls from there down to the one before: keep each step's best.
+    hits = _running(tps, group, "hits").join(total, by).withColumn("step", F.floor(F.col("hits") * 100 / F.col("n_truths")).cast("int"))
+    steps = hits.groupBy(*group, "step").agg(F.max(F.col("hits") / F.col("rank")).alias("p"))
+    grid = total.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(100))))
+    up = Window.partitionBy(*group).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    hull = grid.join(steps, [*group, "step"], "left").withColumn("p", F.coalesce(F.max("p").over(up), F.lit(0.0)))
+    return hull.groupBy(*group).agg(F.avg("p").alias("ap"))
 
 
 def mean_ap(ap: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -96,13 +129,15 @@ def mean_ap(ap: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def by_size(predictions: DataFrame, truths: DataFrame, small: int, large: int, thresholds: list[int]) -> DataFrame:
-    """AP by size category of the ground truth: predictions matched to boxes of another size are ignored, unmatched ones count where their own size lies."""
+    """AP by size category: a prediction counts under the size of the box it claims, or under its own if it claims none."""
     cut = lambda a: boxes.size_category(a, F.lit(small), F.lit(large))
     sized = truths.withColumn("size", cut(boxes.area()))
-    judged = judge(best_truth(pairs(predictions, truths)), thresholds)
+    judged = judge(claims(best_truth(pairs(predictions, truths)), thresholds), thresholds)
     own = predictions.select("pred_id", cut(boxes.area()).alias("own_size"))
-    found = judged.join(sized.select(F.col("gt_id").alias("hit"), F.col("size").alias("hit_size")), "hit", "left").join(own, "pred_id")
-    return average_precision(found.withColumn("size", F.coalesce("hit_size", "own_size")), sized, ["class", "size"])
+    placed = judged.join(sized.select(F.col("gt_id").alias("hit"), F.col("size").alias("hit_size")), "hit", "left").join(own, "pred_id").withColumn("size", F.coalesce("hit_size", "own_size"))
+    group = ["class", "size", "threshold"]
+    ranked = _running(placed.select(*group, "pred_id", "confidence", "tp"), group, "rank")
+    return _per_truth(_area(ranked.where("tp = 1"), group), sized, ["class", "size"], thresholds)
 
 
 def pareto(models: DataFrame, higher: list[str], key: str) -> DataFrame:

@@ -549,8 +549,12 @@ def source_diversity(spark, sf):
 # Metrics
 
 
+def _claimed(spark, sf, thresholds=metrics.LADDER):
+    return metrics.claims(metrics.best_truth(metrics.pairs(B.predictions(spark, sf), B.truths(spark, sf))), thresholds)
+
+
 def _judged(spark, sf, thresholds=metrics.LADDER):
-    return metrics.judge(metrics.best_truth(metrics.pairs(B.predictions(spark, sf), B.truths(spark, sf))), thresholds)
+    return metrics.judge(_claimed(spark, sf, thresholds), thresholds)
 
 
 @query(_with(B.MATCH_SQL, "SELECT pred_id, gt_id, round(inter / nullif(uni, 0), 9) AS iou FROM best"))
@@ -582,13 +586,13 @@ def precision_recall_f1(spark, sf):
 @query(_with(B.MATCH_SQL, "SELECT class, threshold::INT AS threshold, n_truths, round(ap, 9) AS ap FROM ap"))
 def average_precision(spark, sf):
     """AP of each class and threshold."""
-    return metrics.average_precision(_judged(spark, sf), B.truths(spark, sf)).withColumn("ap", F.round("ap", 9))
+    return metrics.average_precision(_claimed(spark, sf), B.truths(spark, sf)).withColumn("ap", F.round("ap", 9))
 
 
 @query(_with(B.MATCH_SQL, "SELECT round(avg(ap) FILTER (threshold = 50), 9) AS map50, round(avg(ap) FILTER (threshold = 75), 9) AS map75, round(avg(ap), 9) AS map50_95 FROM ap"))
 def mean_average_precision(spark, sf):
     """Means over classes, and over the ladder."""
-    out = metrics.mean_ap(metrics.average_precision(_judged(spark, sf), B.truths(spark, sf)))
+    out = metrics.mean_ap(metrics.average_precision(_claimed(spark, sf), B.truths(spark, sf)))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
