@@ -22,7 +22,7 @@ def valid_confidence(c: Column) -> Column:
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """The nearest value in range; null and NaN become null."""
-    return F.when(~F.isnan(c), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+    return F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def checksum(c: Column) -> Column:
