@@ -158,21 +158,37 @@ def _same_bytes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarr
 
 
 def _classes(ph: PrefixHash, buffer: np.ndarray, group: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A number for each element, equal for equal strings of one group and ascending with the group."""
+    """A number for each element, equal for equal strings of one group and ascending with the group, which is sorted.
+
+    Equal strings have equal hashes, so an element whose hash no other of its group has is alone; the rest are sorted.
+    """
+    hashes = _mix(ph.of(start, start + size) + size.astype(np.uint64) + group.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    by_hash = np.argsort(hashes, kind="stable")
+    twin = hashes[by_hash][1:] == hashes[by_hash][:-1]
+    some = np.sort(by_hash[np.r_[twin, False] | np.r_[False, twin]])
+    least = np.arange(len(group))
+    least[some] = some[_sorted_classes(ph, buffer, group[some], start[some], size[some])]
+    return np.unique(least, return_inverse=True)[1]
+
+
+def _sorted_classes(ph: PrefixHash, buffer: np.ndarray, group: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each element, the first element of its group with an equal string, by the suffix sort."""
     order = suffix_sort(ph, buffer, group, start, size)
     a, b = order[:-1], order[1:]
-    same = (group[a] == group[b]) & (size[a] == size[b])
-    pairs = np.flatnonzero(same)
+    pairs = np.flatnonzero((group[a] == group[b]) & (size[a] == size[b]))
     pairs = pairs[ph.of(start[a[pairs]], start[a[pairs]] + size[a[pairs]]) == ph.of(start[b[pairs]], start[b[pairs]] + size[b[pairs]])]
     if not _same_bytes(buffer, start[a[pairs]], start[b[pairs]], size[a[pairs]]).all():  # a collision: group by the bytes
         raw = buffer.tobytes()
-        order = np.array(sorted(range(len(group)), key=lambda i: (group[i], raw[start[i] : start[i] + size[i]])), np.int64)
+        text = lambda i: raw[start[i] : start[i] + size[i]]
+        order = np.array(sorted(range(len(group)), key=lambda i: (group[i], text(i))), np.int64)
         a, b = order[:-1], order[1:]
-        pairs = np.array([i for i in range(len(a)) if group[a[i]] == group[b[i]] and raw[start[a[i]] : start[a[i]] + size[a[i]]] == raw[start[b[i]] : start[b[i]] + size[b[i]]]], np.int64)
+        pairs = np.array([n for n in range(len(a)) if group[a[n]] == group[b[n]] and text(a[n]) == text(b[n])], np.int64)
     new = np.ones(len(group), bool)
     new[pairs + 1] = False
+    heads = np.flatnonzero(new)
     out = np.empty(len(group), np.int64)
-    out[order] = np.cumsum(new) - 1
+    if len(group):
+        out[order] = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.r_[heads, len(group)]))
     return out
 
 
