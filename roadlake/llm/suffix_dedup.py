@@ -400,16 +400,19 @@ def _fetch(buckets: int, length: int):
     """For mapInArrow over (id, tag, data, text): rows of _SHIPPED with the contexts' bytes."""
 
     def flush(texts: list[bytes], asked: list[np.ndarray], ids: list[int], tags: list[int]) -> pa.RecordBatch:
+        import zstandard
+
         joined = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.r_[0, np.cumsum([len(x) for x in texts])][:-1]
         counts = [len(a) for a in asked]
         records, doc = np.concatenate(asked), np.repeat(np.arange(len(texts)), counts)
+        squeeze = zstandard.ZstdCompressor(level=3)
         at, size = records["s"].astype(np.int64) + offsets[doc], records["n"].astype(np.int64) + length - 1
 
         def contexts(rows: np.ndarray) -> bytes:
             n = size[rows]
             ends = np.cumsum(n)
-            return joined[np.repeat(at[rows], n) + np.arange(ends[-1]) - np.repeat(ends - n, n)].tobytes()
+            return squeeze.compress(joined[np.repeat(at[rows], n) + np.arange(ends[-1]) - np.repeat(ends - n, n)].tobytes())
 
         return _ship(buckets, np.array(ids, "<i8"), np.array(tags, "<i4"), doc, records, contexts)
 
@@ -441,8 +444,11 @@ def _repeats(length: int):
     """For applyInArrow: the spans of a bucket's contexts that a smaller document has too (kind 1)."""
 
     def run(t: pa.Table) -> pa.Table:
+        import zstandard
+
+        inflate = zstandard.ZstdDecompressor()
         ids, tags, records = _unship(t)
-        buffer = np.frombuffer(b"".join(t.column("contexts").to_pylist()), np.uint8)
+        buffer = np.frombuffer(b"".join(map(inflate.decompress, t.column("contexts").to_pylist())), np.uint8)
         count = records["n"].astype(np.int64)
         size = count + length - 1
         start = np.cumsum(size) - size
