@@ -44,6 +44,8 @@ PIECE = 1 << 20
 GROUP = 8 << 20
 #: Bytes of text that one bucket of anchors stands for.
 BUCKET = 6 << 20
+#: Buckets of small inputs, so that a document's spans come in as many rows at any size.
+LEAST_BUCKETS = 192
 #: Windows that are sorted at a time, unless one anchor alone has more.
 WINDOWS = 1 << 17
 
@@ -545,7 +547,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     # The tag tells rows with one id and different texts apart.
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(12, total // BUCKET)
+    buckets = max(LEAST_BUCKETS, total // BUCKET)
     shared = rows.mapInArrow(_find(buckets, length, gram), _SHIPPED).groupBy("bucket").applyInArrow(_shared, _FOUND)
     shared = scratch.cut(shared)
     asked = shared.where("kind = 0").groupBy("id", "tag").agg(F.collect_list("data").alias("data"))
