@@ -24,14 +24,15 @@ from __future__ import annotations
 import bisect
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,11 +49,11 @@ ROLL = 64 << 20
 TASK = 24 << 20
 _BITS_PER_KEY, _PROBES = 10, 7
 #: Words that a worker remembers before it starts anew, and the longest of them.
-WORDS, WORD_CHARS = 1 << 19, 48
+WORDS, WORD_CHARS = 800_000, 48
 
-_JOIN = "\x01"
-_TAIL = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)(?=[ \n]|\Z)")
-_TAIL_KEY = f" {_JOIN}\\1"
+_FIRST, _JOIN = "\x02", "\x01"
+#: A run of punctuation between a letter or digit and a space: a pre-token of its own. Words without it recur more often.
+_TAIL, _TAIL_KEY = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)( |$)", rf"\1 {_JOIN}\2\3"
 
 
 def _varint(n: int) -> bytes:
@@ -219,46 +220,41 @@ class Encoder:
                 raw = ids.tobytes()
                 out = {k: raw[a:b] for k, a, b in zip(plain, [0, *(ends + ids.itemsize).tolist()], [*ends.tolist(), len(raw)], strict=True)}
         rest = [k for k in keys if k not in out]
-        return out | dict(zip(rest, self._encode([k.lstrip(_JOIN) if k[:1] in (_JOIN, "\n") else " " + k for k in rest]), strict=True))
+        return out | dict(zip(rest, self._encode([k.lstrip(_FIRST + _JOIN) if k[:1] in (_FIRST, _JOIN, "\n") else " " + k for k in rest]), strict=True))
 
-    def _split(self, text: str) -> list[str] | None:
-        """The text's first piece and the keys of the others; None if the tokenizer should see the text whole.
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as bytes.
 
-        A key stands for a space and itself; with a line end in front for itself; with _JOIN in front for what follows
-        that. Pre-tokens end before a space or a line end after a non-space, and between a letter or digit and a run of
-        punctuation that white space follows.
+        Texts are split before each space and, where no other white space is near, before each line end and before the
+        punctuation that ends a word: pre-tokens end there. Words become numbers of a dictionary in Arrow, so only distinct ones become Python objects, and their ids
+        are put together by a take. A key stands for a space and itself; with a line end in front for itself; with
+        _FIRST or _JOIN in front for what follows that. Texts where this could go wrong are encoded whole.
         """
-        if "  " in text or any(t in text for t in self.added):
-            return None
-        if text.replace("\n", "").isprintable() and " \n" not in text and "\n " not in text and "\n\n" not in text:
-            return _TAIL.sub(_TAIL_KEY, text).replace("\n", " \n").split(" ")
-        pieces = text.split(" ")
-        return None if any(p[:1] in (_JOIN, "\n") for p in pieces[1:]) else pieces
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = list(map(self._split, texts))
-        whole = [n for n, pieces in enumerate(split) if pieces is None]
-        out: list[bytes] = [b""] * len(texts)
-        for n, ids in zip(whole, self._encode([texts[n] for n in whole]), strict=True):
-            out[n] = ids
-        parts = [(n, pieces) for n, pieces in enumerate(split) if pieces is not None]
-        firsts = self._encode([pieces[0] for _, pieces in parts])
-        needed: set[str] = set()
-        for _, pieces in parts:
-            del pieces[0]
-            needed.update(pieces)
-        # The batch's words go into a small dictionary of their own, which stays in the processor's cache.
-        mine = dict(zip(needed, map(self.known.get, needed), strict=True))
-        fresh = self._words([w for w, ids in mine.items() if ids is None])
-        mine.update(fresh)
-        for (n, pieces), first in zip(parts, firsts, strict=True):
-            out[n] = first + b"".join(map(mine.__getitem__, pieces))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        has = lambda t: pc.match_substring(texts, t)
+        odd = reduce(pc.or_, map(has, ["  ", " \n", _FIRST, _JOIN, *self.added]))
+        lines = pc.and_not(pc.utf8_is_printable(pc.replace_substring(texts, "\n", "")), pc.or_(has("\n "), has("\n\n")))
+        tails = pc.replace_substring_regex(pc.replace_substring(pc.if_else(lines, texts, ""), "\n", " \n"), _TAIL, _TAIL_KEY)
+        split = pc.if_else(lines, tails, texts)
+        pieces = pc.split_pattern(pc.if_else(odd, "", pc.binary_join_element_wise(_FIRST, split, "")), " ")
+        numbers = pieces.flatten().dictionary_encode()
+        keys = numbers.dictionary.to_pylist()
+        ids = list(map(self.known.get, keys))
+        fresh = self._words([k for k, i in zip(keys, ids, strict=True) if i is None])
+        if fresh:
+            ids = [fresh[k] if i is None else i for k, i in zip(keys, ids, strict=True)]
+        taken = pa.array(ids, pa.binary()).take(numbers.indices)
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, np.int32, len(taken) + 1) if len(taken) else np.zeros(1, np.int32)
+        bounds = ends[np.asarray(pieces.offsets)].tolist()
+        raw = data.to_pybytes() if data else b""
+        out = [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for n, i in zip(whole, self._encode([texts[n].as_py() for n in whole]), strict=True):
+            out[n] = i
         if len(self.known) > WORDS:
             self.known = {}
-        self.known.update(fresh)
-        for w in fresh:
-            if len(w) > WORD_CHARS:
-                del self.known[w]
+        self.known.update((k, i) for k, i in fresh.items() if len(k) <= WORD_CHARS)
         return out
 
 
@@ -280,10 +276,9 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, roll: int):
             return pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int32()), "nth": pa.array([nth], pa.int32()), "records": pa.array([len(shard.keys)], pa.int64()), "tokens": pa.array([shard.tokens], pa.int64())})
 
         for b in batches:
-            for at in range(0, len(b), 1000):
-                piece = b.slice(at, 1000)
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                for doc, ids in zip(piece.column("id").to_pylist(), encoder.encode(texts), strict=True):
+            for at in range(0, len(b), 2000):
+                piece = b.slice(at, 2000)
+                for doc, ids in zip(piece.column("id").to_pylist(), encoder.encode(piece.column("text")), strict=True):
                     shard.add(key_of(doc), ids + end)
                     if shard.size >= roll:
                         yield flush()

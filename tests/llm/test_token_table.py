@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ def texts():
 def test_encoder_equals_the_tokenizer_on_whole_texts():
     tokenizer = Tokenizer.from_file(PATH)
     encoder, given = T.Encoder(PATH, 2), [t or "" for t in texts()]
+    given += ["a\x02b", "\x02", "\x02 \x02"]
     for _ in range(2):  # the second time from memory
-        got = encoder.encode(given)
+        got = encoder.encode(pa.array(given))
         assert [np.frombuffer(x, "<u2").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in given]
 
 
