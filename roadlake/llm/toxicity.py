@@ -2,8 +2,8 @@
 
 The categories are predicted in a set order. The first model sees a text's features; each later one also sees the
 probabilities of the categories before it. While training, those come from out-of-fold predictions, so that a later
-model learns from probabilities as unsure as those it will meet. Features are the presence of words, picked in each fold
-by a chi-square test of words against labels, and a few ratios of the whole text.
+model learns from probabilities as unsure as those it will meet. Features are the presence of words and of word stems,
+picked in each fold by a chi-square test against the labels, and a few ratios of the whole text.
 
 Fitted on a bounded sample of labelled rows (SAMPLE of them, the least by a hash of the id, so retries and other
 partitionings draw the same); every document is scored, whole, in one pass without a shuffle. The models are a few
@@ -44,8 +44,30 @@ _SYMBOLS = bytes(c for c in range(256) if not (0x30 <= c <= 0x39 or 0x41 <= c <=
 _DIGITS, _UPPER = b"0123456789", bytes(range(0x41, 0x5B))
 
 
+#: Beginnings of longer words that count as words of their own, marked by a star: stems recur under many endings.
+STEMS = (4, 5)
+
+
 def words(text: bytes) -> set[bytes]:
-    return set(text.translate(_NORMAL).split())
+    """A text's words, and the stems of those that go on."""
+    whole = set(text.translate(_NORMAL).split())
+    return whole.union(*({w[:n] + b"*" for w in whole if len(w) > n} for n in STEMS))
+
+
+class Seen:
+    """Finds which of some words and stems a text has, without making all of its stems words."""
+
+    def __init__(self, wanted: set[bytes]) -> None:
+        self.whole = {w for w in wanted if not w.endswith(b"*")}
+        self.stems = [(n, {w[:-1] for w in wanted if w.endswith(b"*") and len(w) == n + 1}) for n in STEMS]
+
+    def __call__(self, text: bytes) -> set[bytes]:
+        words_ = set(text.translate(_NORMAL).split())
+        found = self.whole & words_
+        for n, stems in self.stems:
+            if stems:
+                found.update(x + b"*" for x in stems.intersection([w[:n] for w in words_ if len(w) > n]))
+        return found
 
 
 def ratios(text: bytes) -> list[float]:
@@ -239,12 +261,12 @@ def _score(model: Broadcast, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = model.value
-        wanted = {w for m in chain.models for w in m.words}
+        seen = Seen({w for m in chain.models for w in m.words})
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
                 texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-                found = [wanted.intersection(t.translate(_NORMAL).split()) for t in texts]
+                found = list(map(seen, texts))
                 p = chain.predict(found, np.array([ratios(t) for t in texts]).reshape(len(texts), _RATIOS))
                 yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(p[:, n]) for n in range(len(names))]], ["id", *names])
 
@@ -267,12 +289,12 @@ def keep_clean(spark: SparkSession, docs: DataFrame, model: Chain, chain=CHAIN,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain_ = sent.value
-        wanted = {w for m in chain_.models for w in m.words}
+        seen = Seen({w for m in chain_.models for w in m.words})
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
                 texts = [t or b"" for t in b.column(text_at).cast(pa.binary()).to_pylist()]
-                found = [wanted.intersection(t.translate(_NORMAL).split()) for t in texts]
+                found = list(map(seen, texts))
                 p = chain_.predict(found, np.array([ratios(t) for t in texts]).reshape(len(texts), _RATIOS))[:, place]
                 yield b.filter(pa.array(p < threshold))
 
