@@ -284,9 +284,9 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 #: Words of the wide fingerprint, and how many of its 256 bits linked texts differ in at most. With a Jaccard
 #: similarity j of equally long texts the cosine is 2j / (1 + j), and acos(cosine) / pi of the bits are expected to
-#: differ: 39 bits at j = 0.8; one standard deviation (6 bits) more lets few true pairs go.
+#: differ: 39 bits at j = 0.8; half a standard deviation (3 bits) more lets fewer true pairs go.
 WIDE = 4
-WIDE_BITS = round(64 * WIDE * math.acos(2 * 0.8 / 1.8) / math.pi) + 6
+WIDE_BITS = round(64 * WIDE * math.acos(2 * 0.8 / 1.8) / math.pi) + 3
 
 
 def wide_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, max_bits: int = WIDE_BITS) -> DataFrame:

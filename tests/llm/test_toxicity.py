@@ -38,7 +38,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert got[None].p_toxic >= 0.5 and got[5002].p_toxic >= 0.5 and got[5000].p_toxic < 0.5 and got[5001].p_toxic < 0.5
     kept = X.keep_clean(spark, df, model)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.p_toxic < 0.5}
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.p_toxic < X.THRESHOLD}
 
 
 def test_later_models_see_out_of_fold_probabilities(monkeypatch):
