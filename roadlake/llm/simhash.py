@@ -12,9 +12,8 @@ different groups are compared after that, so a dense ball of near copies costs a
 the edges of a spanning forest, never all pairs. Runs longer than BLOCK are dealt out as pairs of blocks, so no task
 holds an unbounded group. Components follow by star rounds over the classes' least ids.
 
-``wide_groups`` serves a looser similarity (Jaccard of shingles of 0.8 and more), which 64 bits at 4 can't reach: it uses
-256 bits, and as no exact chain key is selective at such distances, a class meets others under each segment and under
-that segment with its least certain bit turned. Pairs that meet are linked at ``max_bits`` or fewer differing bits.
+``wide_groups`` serves a looser similarity (Jaccard of shingles of 0.8 and more), which no number of differing bits stands
+for: it meets and counts the shingles themselves (``jaccard``) and reads no fingerprints.
 
 Defined results: a null or empty text has no words and the fingerprint zero, linked like any other; rows with a null id
 are returned with a null component and link nothing; repeated rows are all returned; empty tables give no rows; other
@@ -23,7 +22,6 @@ columns are not read, so their names can't clash.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlake.llm.components import components
+from roadlake.llm.jaccard import LOWER as _LOWER
+from roadlake.llm.jaccard import jaccard_groups
 from roadlake.llm.shared import Scratch, table
 
 SEED = 42
-_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SPACES = b" \t\n\x0b\x0c\r"  # what bytes.split() takes as white space
 #: Hashes whose bits are unpacked at a time.
 _CHUNK = 1 << 15
@@ -282,28 +281,9 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), F.col("f0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Words of the wide fingerprint, and how many of its 256 bits linked texts differ in at most. With a Jaccard
-#: similarity j of equally long texts the cosine is 2j / (1 + j), and acos(cosine) / pi of the bits are expected to
-#: differ: 39 bits at j = 0.8; half a standard deviation (3 bits) more lets fewer true pairs go.
-WIDE = 4
-WIDE_BITS = round(64 * WIDE * math.acos(2 * 0.8 / 1.8) / math.pi) + 3
-
-
-def wide_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, max_bits: int = WIDE_BITS) -> DataFrame:
-    """id, component_id: groups of texts whose shingles' similarity, as 256 bits estimate it, is 0.8 or more."""
-    scratch = Scratch(spark, "simhash")
-    prints = scratch.cut(fingerprints(docs, id_col, text_col, size, WIDE))
-    words = [f"f{n}" for n in range(WIDE)]
-
-    def keys(classes: DataFrame) -> DataFrame:
-        each = []
-        for n in range(4 * WIDE):
-            segment = F.shiftrightunsigned(words[n // 4], 16 * (n % 4)).bitwiseAND(F.lit(0xFFFF))
-            turned = segment.bitwiseXOR(F.expr(f"shiftleft(1L, cast(conv(hex(substring(weak, {n + 1}, 1)), 16, 10) as int))"))
-            each += [F.struct(F.lit(n).cast("short").alias("slot"), k.alias("key")) for k in (segment, turned)]
-        return classes.withColumn("_k", F.explode(F.array(*each))).select("_k.slot", "_k.key", "rep", *words)
-
-    out = _grouped(spark, scratch, prints, WIDE, keys, None, max_bits)
+def wide_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """id, component_id: exact components of the links between texts whose shingles have a Jaccard similarity of 0.8 or more."""
+    out = jaccard_groups(spark, docs, id_col, text_col, size)
     return out.select(F.col("id").alias(id_col), F.col("component").alias("component_id"))
 
 
