@@ -77,3 +77,22 @@ def test_dense_cluster_and_common_passage(spark):
     want, _ = brute(rows)
     got = {r.doc_id: r.component_id for r in S.wide_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_similar_sets_share_a_prefix_key():
+    """Every pair at 0.8 or more meets: an index key of the smaller set is a probe key of the larger, in any order."""
+    rnd = random.Random(4)
+    met = 0
+    for _ in range(4000):
+        n = rnd.choice([1, 4, 5, 9, 10, 50, 300])
+        shared = list(range(n))
+        a = shared + [n + k for k in range(rnd.randint(0, n // 4))]
+        b = shared + [3 * n + k for k in range(rnd.randint(0, n // 4))]
+        if 5 * n < 4 * (len(a) + len(b) - n):
+            continue
+        order = list(range(5 * n + 1))
+        rnd.shuffle(order)
+        small, large = sorted(([order[x] for x in a], [order[x] for x in b]), key=len)
+        assert set(sorted(small)[: J.index(len(small))]) & set(sorted(large)[: J.probe(len(large))])
+        met += 1
+    assert met > 1000
