@@ -282,9 +282,12 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 
 def wide_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """id, component_id: exact components of the links between texts whose shingles have a Jaccard similarity of 0.8 or more."""
+    """id, component_id and the text's text_hash and text_chars: exact components of the links between texts whose shingles have a Jaccard similarity of 0.8 or more.
+
+    The hash (``jaccard.text_hash``) and length tell rows apart that share an id and have different texts.
+    """
     out = jaccard_groups(spark, docs, id_col, text_col, size)
-    return out.select(F.col("id").alias(id_col), F.col("component").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("component").alias("component_id"), F.col("hash").alias("text_hash"), F.col("chars").alias("text_chars"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
