@@ -67,19 +67,29 @@ def sign_hash(vector: Column, bits: int = 64) -> Column:
     return F.aggregate(F.slice(vector, 1, bits), F.lit(0).cast("bigint"), lambda h, v: F.shiftleft(h, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("bigint")))
 
 
+def sign_words(vector: Column) -> Column:
+    """``sign_hash`` of every component: an array with a word for each 64 of them."""
+    last = F.greatest(F.ceil(F.size(vector) / 64).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda n: sign_hash(F.slice(vector, n * 64 + 1, 64)))
+
+
 def near_hashes(rows: DataFrame, key: str, hash_: str, distance: int, bits: int = 64) -> DataFrame:
     """Pairs (a < b) whose hashes differ in at most ``distance`` bits: they agree in one of distance + 1 bands.
 
+    A hash is a word of ``bits`` bits or an array of such words; a band takes the same bits of each word.
     Rows with one hash meet as one (their least key) and are listed as that pair's members through ``members_of``.
     """
-    one = rows.groupBy(F.col(hash_).alias("h")).agg(F.min(key).alias("k"))
+    words = F.col(hash_) if dict(rows.dtypes)[hash_].startswith("array") else F.array(hash_)
+    one = rows.where(F.col(hash_).isNotNull()).groupBy(words.alias("h")).agg(F.min(key).alias("k"))
     edges = [round(bits * n / (distance + 1)) for n in range(distance + 2)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    bands = F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)).alias("v")) for n, m in enumerate(masks)]))
+    part = lambda m: F.transform("h", lambda w: w.bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)))
+    bands = F.explode(F.array(*[F.struct(F.lit(n).alias("band"), part(m).alias("v")) for n, m in enumerate(masks)]))
     a = one.withColumn("_b", bands).select("h", "k", "_b.band", "_b.v")
     b = a.withColumnsRenamed({"h": "h2", "k": "k2"})
-    close = a.join(b, ["band", "v"]).where((F.col("k") < F.col("k2")) & (scalar.hamming(F.col("h"), F.col("h2")) <= distance))
-    return close.select(F.col("k").alias("a"), F.col("k2").alias("b"), scalar.hamming(F.col("h"), F.col("h2")).alias("bits")).distinct()
+    differing = F.aggregate(F.zip_with("h", "h2", scalar.hamming), F.lit(0), lambda n, d: n + d)
+    close = a.join(b, ["band", "v"]).where(F.col("k") < F.col("k2")).withColumn("bits", differing).where(F.col("bits") <= distance)
+    return close.select(F.col("k").alias("a"), F.col("k2").alias("b"), "bits").distinct()
 
 
 def members_of(rows: DataFrame, key: str, hash_: str) -> DataFrame:

@@ -467,9 +467,18 @@ def near_points(spark, sf):
     "SELECT a.k AS a, b.k AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM one a JOIN one b ON a.k < b.k AND bit_count(xor(a.h, b.h)) <= 7"
 )
 def near_duplicate_hashes(spark, sf):
-    """Pairs of perceptual-hash stand-ins that differ in at most seven bits."""
-    hashed = B.table(spark, sf, "embeddings").select("vec_id", joins.sign_hash(F.col("embedding")).alias("h"))
-    return joins.near_hashes(hashed, "vec_id", "h", 7)
+    """Pairs of perceptual-hash stand-ins that differ in at most seven bits; ``near_duplicate_members`` has each one's vectors."""
+    return joins.near_hashes(_hashed(spark, sf), "vec_id", "h", 7)
+
+
+def _hashed(spark, sf):
+    return B.table(spark, sf, "embeddings").select("vec_id", joins.sign_words(F.col("embedding")).alias("h"))
+
+
+@query("SELECT vec_id AS member, min(vec_id) OVER (PARTITION BY list_transform(embedding, lambda v: v > 0)) AS representative FROM embeddings")
+def near_duplicate_members(spark, sf):
+    """Every vector with the least one of its hash, which stands for it in ``near_duplicate_hashes``."""
+    return joins.members_of(_hashed(spark, sf), "vec_id", "h")
 
 
 # Datasets
