@@ -10,18 +10,21 @@ one context, and only contexts under equal anchors can share one. Then
    the others ship their anchor's hash and place,
 2. anchors that one document alone has are dropped,
 3. the others fetch their context's bytes from the text,
-4. each anchor's contexts are suffix-sorted: a mergesort whose comparisons find the common extension by binary search
-   over prefix hashes, so a comparison takes logarithmic time. Runs of equal contexts collapse to one with the least id;
-   where an anchor has several contexts, their windows are suffix-sorted the same way. Equal neighbours are verified
-   byte by byte, and a chunk with a collision is grouped by its bytes instead,
+4. each anchor's contexts are suffix-sorted: a radix pass over the first eight bytes, then a mergesort whose comparisons
+   find the common extension by binary search over prefix hashes, so a comparison takes logarithmic time. Equal strings
+   are neighbours in that order; they are verified byte by byte, and a chunk with a collision is grouped by its bytes
+   instead. Runs of equal contexts collapse to one with the least id; where an anchor has several contexts, their windows
+   are suffix-sorted the same way,
 5. the spans are cut out of the texts.
 
-What is shuffled is bounded per key: a task ships each distinct context once (save where the same task meets a smaller
-document later), so a passage that a third of all documents share ships about once a task.
+No anchor gathers in one task. A context that a task has seen in a smaller document never travels, so a passage that a
+third of all documents share ships about once a group of GROUP bytes. The contexts at such a passage's ends differ from
+document to document; an anchor with more than CROWD of them in a group, or more than HOT in all, is crowded: its contexts
+are dealt as single windows, each under a hash of its own bytes, after the group's repeats of a window are removed.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH keep all; rows with a null id keep all and count
-as no document for others; rows with one id are no smaller than each other; an empty table gives no rows; other columns
-are not read, so their names can't clash. Ids are integers.
+as no document for others; rows with one id are no smaller than each other (64-bit hashes of their texts tell them apart); an empty table gives no
+rows; other columns are not read, so their names can't clash. Long texts are hashed in pieces. Ids are integers.
 """
 
 from __future__ import annotations
@@ -39,15 +42,15 @@ from roadlake.llm.shared import Scratch, table
 LENGTH = 50
 GRAM = 18
 #: Bytes of text that are hashed at a time; it takes some 60 times as much memory.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes of texts whose contexts a task ships together.
 GROUP = 8 << 20
 #: Bytes of text that one bucket of anchors stands for.
-BUCKET = 6 << 20
-#: Buckets of small inputs, so that a document's spans come in as many rows at any size.
-LEAST_BUCKETS = 192
-#: Windows that are sorted at a time, unless one anchor alone has more.
-WINDOWS = 1 << 17
+BUCKET = 4 << 20
+#: Contexts of one anchor, in a group or in all, beyond which they are dealt as single windows.
+CROWD, HOT = 64, 1 << 15
+#: Bytes of contexts, and windows, that are sorted at a time, unless one anchor alone has more.
+CHUNK, WINDOWS = 1 << 20, 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -159,25 +162,30 @@ def _same_bytes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarr
     return out
 
 
+def _leading(buffer: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """The first n bytes, up to 8, of the strings at ``start`` as numbers that sort as the bytes do."""
+    out = np.zeros(len(start), np.uint64)
+    for at in range(n):
+        out = (out << np.uint64(8)) | buffer[start + at].astype(np.uint64)
+    return out
+
+
 def _classes(ph: PrefixHash, buffer: np.ndarray, group: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A number for each element, equal for equal strings of one group and ascending with the group, which is sorted.
 
-    Equal strings have equal hashes, so an element whose hash no other of its group has is alone; the rest are sorted.
+    Equal strings are neighbours in the suffix order. Strings that tie on their group and first bytes are mergesorted.
     """
-    hashes = _mix(ph.of(start, start + size) + size.astype(np.uint64) + group.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    by_hash = np.argsort(hashes, kind="stable")
-    twin = hashes[by_hash][1:] == hashes[by_hash][:-1]
-    some = np.sort(by_hash[np.r_[twin, False] | np.r_[False, twin]])
-    least = np.arange(len(group))
-    least[some] = some[_sorted_classes(ph, buffer, group[some], start[some], size[some])]
-    return np.unique(least, return_inverse=True)[1]
-
-
-def _sorted_classes(ph: PrefixHash, buffer: np.ndarray, group: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each element, the first element of its group with an equal string, by the suffix sort."""
-    order = suffix_sort(ph, buffer, group, start, size)
+    if not len(group):
+        return np.zeros(0, np.int64)
+    head = _leading(buffer, start, min(8, int(size.min())))
+    order = np.lexsort((head, group))
+    tie = (group[order][1:] == group[order][:-1]) & (head[order][1:] == head[order][:-1])
+    run = np.cumsum(np.r_[True, ~tie]) - 1
+    some = np.flatnonzero(np.r_[tie, False] | np.r_[False, tie])
+    inner = order[some]
+    order[some] = inner[suffix_sort(ph, buffer, run[some], start[inner], size[inner])]
     a, b = order[:-1], order[1:]
-    pairs = np.flatnonzero((group[a] == group[b]) & (size[a] == size[b]))
+    pairs = np.flatnonzero(tie & (size[a] == size[b]))
     pairs = pairs[ph.of(start[a[pairs]], start[a[pairs]] + size[a[pairs]]) == ph.of(start[b[pairs]], start[b[pairs]] + size[b[pairs]])]
     if not _same_bytes(buffer, start[a[pairs]], start[b[pairs]], size[a[pairs]]).all():  # a collision: group by the bytes
         raw = buffer.tobytes()
@@ -187,10 +195,8 @@ def _sorted_classes(ph: PrefixHash, buffer: np.ndarray, group: np.ndarray, start
         pairs = np.array([n for n in range(len(a)) if group[a[n]] == group[b[n]] and text(a[n]) == text(b[n])], np.int64)
     new = np.ones(len(group), bool)
     new[pairs + 1] = False
-    heads = np.flatnonzero(new)
     out = np.empty(len(group), np.int64)
-    if len(group):
-        out[order] = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.r_[heads, len(group)]))
+    out[order] = np.cumsum(new) - 1
     return out
 
 
@@ -269,12 +275,21 @@ def _unship(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, g, d, a in zip(*(t.column(c).to_pylist() for c in ("ids", "tags", "doc", "anchors")), strict=True):
         index = np.frombuffer(d, "<u4")
         ids.append(np.frombuffer(i, "<i8")[index])
-        tags.append(np.frombuffer(g, "<i4")[index])
+        tags.append(np.frombuffer(g, "<i8")[index])
         records.append(np.frombuffer(a, _ANCHOR))
     return np.concatenate(ids), np.concatenate(tags), np.concatenate(records)
 
 
-#: A local span has no bucket of its own: it goes along with any, as rows with a null ``anchors``.
+def _local(serial: int, ids: np.ndarray, tags: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    """Spans that a task has found, or contexts that it asks for as windows: they have no bucket and go along with any.
+
+    Such a row has null ``anchors``; ``doc`` is null for spans and empty for contexts.
+    """
+    doc = b"" if data.dtype == _ANCHOR else None
+    rows = [pa.array([serial], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, tags)), pa.array([doc], pa.binary()), pa.array([None], pa.binary()), pa.array([data.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(rows, ["bucket", "ids", "tags", "doc", "anchors", "contexts"])
+
+
 def _find(buckets: int, length: int, gram: int):
     """For mapInArrow over (id, tag, text): rows of _SHIPPED; spans found by the task itself have null anchors."""
 
@@ -312,7 +327,7 @@ def _find(buckets: int, length: int, gram: int):
         if not parts:
             return
         anchor, context, place, count, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ids_, tags_ = np.array(ids, "<i8"), np.array(tags, "<i4")
+        ids_, tags_ = np.array(ids, "<i8"), np.array(tags, "<i8")
         owner = ids_[doc]
         order = np.lexsort((owner, context))
         new = np.r_[True, context[order][1:] != context[order][:-1]]
@@ -327,13 +342,20 @@ def _find(buckets: int, length: int, gram: int):
         keep[mine] = False
         records = np.zeros(int(keep.sum()), _ANCHOR)
         records["a"], records["s"], records["n"] = anchor[keep], inside[keep], count[keep]
-        yield _ship(buckets, ids_, tags_, doc[keep], records)
+        doc_ = doc[keep]
+        _, which, times = np.unique(records["a"], return_inverse=True, return_counts=True)
+        crowded = times[which] > CROWD
+        if crowded.any():
+            yield _local(serial % buckets, ids_[doc_[crowded]], tags_[doc_[crowded]], records[crowded])
+            said = np.zeros(int((times > CROWD).sum()), _ANCHOR)  # a record without windows says that its anchor is crowded
+            said["a"] = np.unique(records["a"][crowded])
+            records, doc_ = np.concatenate([records[~crowded], said]), np.r_[doc_[~crowded], np.zeros(len(said), doc_.dtype)]
+        yield _ship(buckets, ids_, tags_, doc_, records)
         if len(mine):
             spans = np.zeros(len(mine), _SPAN)
             spans["s"], spans["e"] = inside[mine], inside[mine] + count[mine] + length - 1
             spans, doc_ = _joined_spans(spans, doc[mine])
-            rows = [pa.array([serial % buckets]), pa.array([ids_[doc_].tobytes()]), pa.array([tags_[doc_].tobytes()]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([spans.tobytes()])]
-            yield pa.RecordBatch.from_arrays(rows, ["bucket", "ids", "tags", "doc", "anchors", "contexts"])
+            yield _local(serial % buckets, ids_[doc_], tags_[doc_], spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
@@ -372,139 +394,201 @@ def _joined_spans(spans: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, doc[new]
 
 
-_FOUND = "kind int, id bigint, tag int, data binary"
+#: Kinds of found rows: contexts to fetch, spans to remove, contexts to fetch as windows.
+_ASK, _GONE, _SINGLY = 0, 1, 2
+_FOUND = "kind int, id bigint, tag bigint, data binary"
 
 
-def _found(kind: int, ids: np.ndarray, tags: np.ndarray, data: pa.Array) -> pa.Table:
-    return pa.table({"kind": pa.array(np.full(len(ids), kind, np.int32)), "id": pa.array(ids.astype(np.int64)), "tag": pa.array(tags.astype(np.int32)), "data": data})
+def _found(kind: int, ids: np.ndarray, tags: np.ndarray, data: np.ndarray) -> pa.Table:
+    ids, tags, data = _by_doc(ids, tags, data)
+    return pa.table({"kind": pa.array(np.full(len(ids), kind, np.int32)), "id": pa.array(ids.astype(np.int64)), "tag": pa.array(tags.astype(np.int64)), "data": data})
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """A bucket's anchors that two documents have, by document (kind 0), and the tasks' own spans (kind 1)."""
-    out = [_found(0, np.zeros(0, np.int64), np.zeros(0, np.int32), pa.array([], pa.binary()))]
+def _nothing() -> pa.Table:
+    return _found(_ASK, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _SPAN))
+
+
+def _passed(t: pa.Table) -> Iterator[pa.Table]:
+    """The rows of ``_local``."""
     local = t.filter(t.column("anchors").is_null())
-    for i, g, s in zip(*(local.column(c).to_pylist() for c in ("ids", "tags", "contexts")), strict=True):
-        out.append(_found(1, *_by_doc(np.frombuffer(i, "<i8"), np.frombuffer(g, "<i4"), np.frombuffer(s, _SPAN))))
+    for i, g, d, x in zip(*(local.column(c).to_pylist() for c in ("ids", "tags", "doc", "contexts")), strict=True):
+        ids, tags = np.frombuffer(i, "<i8"), np.frombuffer(g, "<i8")
+        yield _found(_GONE, ids, tags, np.frombuffer(x, _SPAN)) if d is None else _found(_SINGLY, ids, tags, np.frombuffer(x, _ANCHOR))
+
+
+def _shared(t: pa.Table) -> pa.Table:
+    """A bucket's contexts whose anchors two documents have, by document, and what the tasks pass on."""
+    out = [_nothing(), *_passed(t)]
     t = t.filter(t.column("anchors").is_valid())
     if len(t):
         ids, tags, records = _unship(t)
         order = np.argsort(records["a"], kind="stable")
-        a, i = records["a"][order], ids[order]
+        a, i, n = records["a"][order], ids[order], records["n"][order]
         new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        times = np.diff(np.r_[new, len(a)])
+        singly = (times > HOT) | (np.minimum.reduceat(n, new) == 0)
         several = np.minimum.reduceat(i, new) != np.maximum.reduceat(i, new)
-        keep = order[np.repeat(several, np.diff(np.r_[new, len(a)]))]
-        if len(keep):
-            out.append(_found(0, *_by_doc(ids[keep], tags[keep], records[keep])))
+        for kind, anchors in ((_ASK, several & ~singly), (_SINGLY, singly)):
+            keep = order[np.repeat(anchors, times) & (n > 0)]
+            out.append(_found(kind, ids[keep], tags[keep], records[keep]))
     return pa.concat_tables(out)
 
 
+def _windows(joined: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of the contexts at ``at``, one after the other."""
+    out = []
+    size = count + length - 1
+    step = max(1, PIECE // (2 * length))
+    for low in range(0, len(at), step):
+        n, c = size[low : low + step], count[low : low + step]
+        base = np.cumsum(n) - n
+        buffer = joined[np.repeat(at[low : low + step] - base, n) + np.arange(n.sum())]
+        begin = np.repeat(base - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        out.append(_mix(PrefixHash(buffer).of(begin, begin + length)))
+    return np.concatenate(out)
+
+
 def _fetch(buckets: int, length: int):
-    """For mapInArrow over (id, tag, data, text): rows of _SHIPPED with the contexts' bytes."""
+    """For mapInArrow over (id, tag, asked, text): rows of _SHIPPED with the contexts' bytes."""
 
-    def flush(texts: list[bytes], asked: list[np.ndarray], ids: list[int], tags: list[int]) -> pa.RecordBatch:
+    def flush(texts: list[bytes], asked: list[np.ndarray], singly: list[np.ndarray], ids: list[int], tags: list[int]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         joined = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.r_[0, np.cumsum([len(x) for x in texts])][:-1]
-        counts = [len(a) for a in asked]
-        records, doc = np.concatenate(asked), np.repeat(np.arange(len(texts)), counts)
+        ids_, tags_ = np.array(ids, "<i8"), np.array(tags, "<i8")
+        records, doc = np.concatenate(asked), np.repeat(np.arange(len(texts)), [len(a) for a in asked])
+        crowded, owners = np.concatenate(singly), np.repeat(np.arange(len(texts)), [len(a) for a in singly])
+        if len(crowded):
+            count = crowded["n"].astype(np.int64)
+            each = np.zeros(int(count.sum()), _ANCHOR)
+            each["a"] = _windows(joined, crowded["s"].astype(np.int64) + offsets[owners], count, length)
+            each["s"] = np.repeat(crowded["s"] - (np.cumsum(count) - count), count) + np.arange(len(each))
+            each["n"] = 1
+            owners = np.repeat(owners, count)
+            order = np.lexsort((ids_[owners], each["a"]))
+            each, owners = each[order], owners[order]
+            head = np.maximum.accumulate(np.where(np.r_[True, each["a"][1:] != each["a"][:-1]], np.arange(len(each)), 0))
+            at = each["s"].astype(np.int64) + offsets[owners]
+            again = np.flatnonzero(ids_[owners] > ids_[owners[head]])
+            again = again[_same_bytes(joined, at[again], at[head[again]], np.full(len(again), length))]
+            if len(again):
+                spans = np.zeros(len(again), _SPAN)
+                spans["s"], spans["e"] = each["s"][again], each["s"][again] + length
+                spans, of = _joined_spans(spans, owners[again])
+                yield _local(ids[0] % buckets, ids_[of], tags_[of], spans)
+            stay = np.ones(len(each), bool)
+            stay[again] = False
+            records, doc = np.concatenate([records, each[stay]]), np.r_[doc, owners[stay]]
         squeeze = zstandard.ZstdCompressor(level=3)
         at, size = records["s"].astype(np.int64) + offsets[doc], records["n"].astype(np.int64) + length - 1
 
         def contexts(rows: np.ndarray) -> bytes:
             n = size[rows]
             ends = np.cumsum(n)
-            return squeeze.compress(joined[np.repeat(at[rows], n) + np.arange(ends[-1]) - np.repeat(ends - n, n)].tobytes())
+            return squeeze.compress(joined[np.repeat(at[rows] - (ends - n), n) + np.arange(ends[-1])].tobytes())
 
-        return _ship(buckets, np.array(ids, "<i8"), np.array(tags, "<i4"), doc, records, contexts)
+        yield _ship(buckets, ids_, tags_, doc, records, contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[bytes] = []
-        asked: list[np.ndarray] = []
-        ids: list[int] = []
-        tags: list[int] = []
-        held = 0
+        none = np.zeros(0, _ANCHOR)
+        held: list[list] = [[], [], [], [], []]
+        size = 0
         for b in _slices(batches):
-            cols = [b.column(c).to_pylist() for c in ("id", "tag", "data")]
-            for i, g, d, x in zip(*cols, b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                records = np.frombuffer(b"".join(d), _ANCHOR)
-                texts.append(x)
-                asked.append(records)
-                ids.append(i)
-                tags.append(g)
-                held += len(x) + 100 * len(records)
-                if held >= GROUP:
-                    yield flush(texts, asked, ids, tags)
-                    texts, asked, ids, tags, held = [], [], [], [], 0
-        if texts:
-            yield flush(texts, asked, ids, tags)
+            cols = [b.column(c).to_pylist() for c in ("id", "tag", "asked", "singly")]
+            for i, g, d, w, x in zip(*cols, b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                records, windows = (np.frombuffer(b"".join(v), _ANCHOR) if v else none for v in (d, w))
+                for to, value in zip(held, (x, records, windows, i, g), strict=True):
+                    to.append(value)
+                size += len(x) + 100 * len(records) + 50 * int(windows["n"].sum())
+                if size >= GROUP:
+                    yield from flush(*held)
+                    held, size = [[], [], [], [], []], 0
+        if held[0]:
+            yield from flush(*held)
 
     return run
 
 
+def _spans(buffer: np.ndarray, group: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(spans, element of each) of the windows that a smaller document of the group has too; ``group`` is sorted."""
+    ph = PrefixHash(buffer)
+    klass = _classes(ph, buffer, group, start, count + length - 1)
+    by = np.argsort(klass, kind="stable")
+    head = np.flatnonzero(np.r_[True, np.diff(klass[by]) != 0])
+    rep, least = by[head], np.minimum.reduceat(ids[by], head)
+    rep_group = group[rep]
+    several = np.repeat(*(lambda n: (n > 1, n))(np.bincount(rep_group)[np.unique(rep_group)]))  # class of an anchor with others
+    # The least id of each window of each class.
+    n_windows = count[rep]
+    base = np.cumsum(n_windows) - n_windows
+    low = np.repeat(least, n_windows)
+    todo = np.flatnonzero(several)
+    at = 0
+    while at < len(todo):  # whole anchors, up to WINDOWS windows at a time
+        upto = at + max(1, int(np.searchsorted(np.cumsum(n_windows[todo[at:]]), WINDOWS, "right")))
+        while upto < len(todo) and rep_group[todo[upto]] == rep_group[todo[upto - 1]]:
+            upto += 1
+        c = todo[at:upto]
+        n = n_windows[c]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        where = np.repeat(base[c], n) + inner
+        begin = np.repeat(start[rep[c]], n) + inner
+        same = _classes(ph, buffer, np.repeat(rep_group[c], n), begin, np.full(len(begin), length))
+        o = np.argsort(same, kind="stable")
+        h = np.flatnonzero(np.r_[True, np.diff(same[o]) != 0])
+        low[where[o]] = np.repeat(np.minimum.reduceat(low[where[o]], h), np.diff(np.r_[h, len(o)]))
+        at = upto
+    spans, owners = [np.zeros(0, _SPAN)], [np.zeros(0, np.int64)]
+    for a in range(0, len(ids), max(1, WINDOWS // 4)):
+        part = slice(a, a + max(1, WINDOWS // 4))
+        n = count[part]
+        rows = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = np.flatnonzero(ids[part][rows] > low[base[klass[part]][rows] + inner])
+        if not len(hit):
+            continue
+        new = np.flatnonzero(np.r_[True, (rows[hit][1:] != rows[hit][:-1]) | (inner[hit][1:] != inner[hit][:-1] + 1)])
+        last = np.r_[new[1:], len(hit)] - 1
+        s = np.zeros(len(new), _SPAN)
+        s["s"] = first[part][rows[hit[new]]] + inner[hit[new]]
+        s["e"] = first[part][rows[hit[new]]] + inner[hit[last]] + length
+        spans.append(s)
+        owners.append(rows[hit[new]] + a)
+    return np.concatenate(spans), np.concatenate(owners)
+
+
 def _repeats(length: int):
-    """For applyInArrow: the spans of a bucket's contexts that a smaller document has too (kind 1)."""
+    """For applyInArrow: the spans of a bucket's contexts that a smaller document has too."""
 
     def run(t: pa.Table) -> pa.Table:
         import zstandard
 
+        out = [_nothing(), *_passed(t)]
+        t = t.filter(t.column("anchors").is_valid())
+        if not len(t):
+            return pa.concat_tables(out)
         inflate = zstandard.ZstdDecompressor()
         ids, tags, records = _unship(t)
-        buffer = np.frombuffer(b"".join(map(inflate.decompress, t.column("contexts").to_pylist())), np.uint8)
-        count = records["n"].astype(np.int64)
-        size = count + length - 1
-        start = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(map(inflate.decompress, t.column("contexts").to_pylist())), np.uint8)
+        size = records["n"].astype(np.int64) + length - 1
+        at = np.cumsum(size) - size
         order = np.argsort(records["a"], kind="stable")
-        anchor = records["a"][order]
-        group = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
-        start, count, size, ids, tags, first = start[order], count[order], size[order], ids[order], tags[order], records["s"][order].astype(np.int64)
-        ph = PrefixHash(buffer)
-        klass = _classes(ph, buffer, group, start, size)
-        by = np.argsort(klass, kind="stable")
-        head = np.flatnonzero(np.r_[True, np.diff(klass[by]) != 0])
-        rep, least = by[head], np.minimum.reduceat(ids[by], head)
-        rep_group = group[rep]
-        several = np.repeat(*(lambda n: (n > 1, n))(np.bincount(rep_group)[np.unique(rep_group)]))  # class of an anchor with others
-        # The least id of each window of each class.
-        n_windows = count[rep]
-        base = np.cumsum(n_windows) - n_windows
-        low = np.repeat(least, n_windows)
-        todo = np.flatnonzero(several)
-        at = 0
-        while at < len(todo):  # whole anchors, up to WINDOWS windows at a time
-            upto = at + max(1, int(np.searchsorted(np.cumsum(n_windows[todo[at:]]), WINDOWS, "right")))
-            while upto < len(todo) and rep_group[todo[upto]] == rep_group[todo[upto - 1]]:
-                upto += 1
-            c = todo[at:upto]
-            n = n_windows[c]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where = np.repeat(base[c], n) + inner
-            begin = np.repeat(start[rep[c]], n) + inner
-            same = _classes(ph, buffer, np.repeat(rep_group[c], n), begin, np.full(len(begin), length))
-            o = np.argsort(same, kind="stable")
-            h = np.flatnonzero(np.r_[True, np.diff(same[o]) != 0])
-            low[where[o]] = np.repeat(np.minimum.reduceat(low[where[o]], h), np.diff(np.r_[h, len(o)]))
-            at = upto
-        spans, owners = [], []
-        for a in range(0, len(ids), max(1, WINDOWS // 4)):
-            part = slice(a, a + max(1, WINDOWS // 4))
-            n = count[part]
-            rows = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hit = np.flatnonzero(ids[part][rows] > low[base[klass[part]][rows] + inner])
-            if not len(hit):
-                continue
-            new = np.flatnonzero(np.r_[True, (rows[hit][1:] != rows[hit][:-1]) | (inner[hit][1:] != inner[hit][:-1] + 1)])
-            last = np.r_[new[1:], len(hit)] - 1
-            s = np.zeros(len(new), _SPAN)
-            s["s"] = first[part][rows[hit[new]]] + inner[hit[new]]
-            s["e"] = first[part][rows[hit[new]]] + inner[hit[last]] + length
-            spans.append(s)
-            owners.append(rows[hit[new]] + a)
-        if not spans:
-            return _found(1, np.zeros(0, np.int64), np.zeros(0, np.int32), pa.array([], pa.binary()))
-        spans_, owner = np.concatenate(spans), np.concatenate(owners)
-        return _found(1, *_by_doc(ids[owner], tags[owner], spans_))
+        anchor, upto = records["a"][order], np.cumsum(size[order])
+        new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])  # where anchors start, and the end
+        begin = 0
+        while begin < len(new) - 1:  # whole anchors, up to CHUNK bytes at a time
+            before = upto[new[begin] - 1] if new[begin] else 0
+            end = max(begin + 1, int(np.searchsorted(upto[new[begin + 1 :] - 1], before + CHUNK, "right")) + begin)
+            rows = order[new[begin] : new[end]]
+            n = size[rows]
+            start = np.cumsum(n) - n
+            buffer = data[np.repeat(at[rows] - start, n) + np.arange(n.sum())]
+            group = np.repeat(np.arange(end - begin), np.diff(new[begin : end + 1]))
+            spans, owner = _spans(buffer, group, start, records["n"][rows].astype(np.int64), ids[rows], records["s"][rows].astype(np.int64), length)
+            out.append(_found(_GONE, ids[rows][owner], tags[rows][owner], spans))
+            begin = end
+        return pa.concat_tables(out)
 
     return run
 
@@ -545,16 +629,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         raise ValueError("gram must be from 1 to length, and length at most 255")
     scratch = Scratch(spark, "repeats")
     # The tag tells rows with one id and different texts apart.
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(LEAST_BUCKETS, total // BUCKET)
+    buckets = total // BUCKET + 1
     shared = rows.mapInArrow(_find(buckets, length, gram), _SHIPPED).groupBy("bucket").applyInArrow(_shared, _FOUND)
     shared = scratch.cut(shared)
-    asked = shared.where("kind = 0").groupBy("id", "tag").agg(F.collect_list("data").alias("data"))
-    contexts = rows.join(asked.hint("shuffle_hash"), ["id", "tag"]).mapInArrow(_fetch(buckets, length), _SHIPPED)
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("data")))
+    asked = shared.where(F.col("kind") != _GONE).groupBy("id", "tag").agg(of(_ASK).alias("asked"), of(_SINGLY).alias("singly"))
+    contexts = rows.join(asked, ["id", "tag"]).mapInArrow(_fetch(buckets, length), _SHIPPED)
     spans = scratch.cut(contexts.groupBy("bucket").applyInArrow(_repeats(length), _FOUND))
-    every = spans.union(shared.where("kind = 1")).groupBy("id", "tag").agg(F.collect_list("data").alias("data"))
-    out = rows.join(every.hint("shuffle_hash"), ["id", "tag"], "left").select("id", "text", "data")
+    every = spans.union(shared.where(F.col("kind") == _GONE)).groupBy("id", "tag").agg(F.collect_list("data").alias("data"))
+    out = rows.join(every, ["id", "tag"], "left").select("id", "text", "data")
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
     return out.mapInArrow(_cut(keep_bytes), schema).withColumnRenamed("id", id_col)
 

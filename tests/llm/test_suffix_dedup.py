@@ -63,17 +63,24 @@ def run_in_one_process(rows, buckets=3):
         out = [f(t.filter(pa.compute.equal(t.column("bucket"), b))) for b in set(t.column("bucket").to_pylist())] if t else []
         return pa.concat_tables(out).to_pylist() if out else []
 
-    batch = pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows], pa.int64()), "tag": pa.array([hash(t) % 2**31 for _, t in rows], pa.int32()), "text": pa.array([t for _, t in rows], pa.string())})
+    tag = lambda t: hash(t) % 2**62
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows], pa.int64()), "tag": pa.array([tag(t) for _, t in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
     found = grouped(list(D._find(buckets, 50, D.GRAM)(iter([batch]))), D._shared)
-    spans, asked = {}, {}
+    by_kind = {kind: {} for kind in (D._ASK, D._GONE, D._SINGLY)}
     for r in found:
-        (spans if r["kind"] else asked).setdefault((r["id"], r["tag"]), []).append(r["data"])
-    texts = {(i, hash(t) % 2**31): t for i, t in rows}
-    want = pa.RecordBatch.from_pylist([{"id": k[0], "tag": k[1], "data": v, "text": texts[k]} for k, v in asked.items()], pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("data", pa.list_(pa.binary())), ("text", pa.string())]))
-    for r in grouped([b for b in D._fetch(buckets, 50)(iter([want])) if len(b)], D._repeats(50)) if asked else []:
+        by_kind[r["kind"]].setdefault((r["id"], r["tag"]), []).append(r["data"])
+    spans, asked, singly = by_kind[D._GONE], by_kind[D._ASK], by_kind[D._SINGLY]
+    texts = {(i, tag(t)): t for i, t in rows}
+    lists = pa.list_(pa.binary())
+    want = pa.RecordBatch.from_pylist(
+        [{"id": k[0], "tag": k[1], "asked": asked.get(k, []), "singly": singly.get(k, []), "text": texts[k]} for k in {**asked, **singly}],
+        pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("asked", lists), ("singly", lists), ("text", pa.string())]),
+    )
+    for r in grouped([b for b in D._fetch(buckets, 50)(iter([want])) if len(b)], D._repeats(50)) if len(want) else []:
+        assert r["kind"] == D._GONE
         spans.setdefault((r["id"], r["tag"]), []).append(r["data"])
-    last = pa.RecordBatch.from_pydict({"id": batch.column("id"), "text": batch.column("text"), "data": pa.array([spans.get((i, hash(t) % 2**31)) for i, t in rows], pa.list_(pa.binary()))})
-    out = next(D._cut(False)(iter([last]))).to_pylist()
+    last = pa.RecordBatch.from_pydict({"id": batch.column("id"), "text": batch.column("text"), "data": pa.array([spans.get((i, tag(t))) for i, t in rows], lists)})
+    out = [r for b in D._cut(False)(iter([last])) for r in b.to_pylist()]
     return sorted((tuple(r.values()) for r in out), key=str)
 
 
@@ -82,10 +89,53 @@ def test_bounds_do_not_change_the_result(monkeypatch, piece, group, windows):
     monkeypatch.setattr(D, "PIECE", piece)
     monkeypatch.setattr(D, "GROUP", group)
     monkeypatch.setattr(D, "WINDOWS", windows)
+    monkeypatch.setattr(D, "CHUNK", windows * 20)
     rows = corpus(3)
     assert run_in_one_process(rows) == brute(rows)
 
 
+@pytest.mark.parametrize("crowd,hot,group", [(1, 1 << 15, 300), (3, 1 << 15, 2000), (64, 2, 300), (2, 4, 1)])
+def test_crowded_anchors_do_not_change_the_result(monkeypatch, crowd, hot, group):
+    monkeypatch.setattr(D, "CROWD", crowd)
+    monkeypatch.setattr(D, "HOT", hot)
+    monkeypatch.setattr(D, "GROUP", group)
+    rows = corpus(5)
+    assert run_in_one_process(rows) == brute(rows)
+
+
+def test_a_filler_in_every_document_gathers_nowhere(monkeypatch):
+    """The contexts at the filler's ends differ from document to document; no bucket of either step grows with them."""
+    rnd = random.Random(6)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    filler = letters(200)
+    rows = [(i, letters(60) + filler + letters(60)) for i in range(800)]
+    monkeypatch.setattr(D, "CROWD", 8)
+    most = []
+    repeats = D._repeats
+
+    def counted(length):
+        run = repeats(length)
+
+        def seen(t):
+            live = t.filter(t.column("anchors").is_valid())
+            records = D._unship(live)[2] if len(live) else np.zeros(0, D._ANCHOR)
+            most.append(int(np.unique(records["a"], return_counts=True)[1].max(initial=0)))
+            return run(t)
+
+        return seen
+
+    monkeypatch.setattr(D, "_repeats", counted)
+    assert run_in_one_process(rows, 5) == brute(rows)
+    assert max(most) <= 8
+
+
+def test_very_long_text(monkeypatch):
+    rnd = random.Random(7)
+    long = "".join(rnd.choice("abcd ") for _ in range(700_000))
+    got = {r[0]: r for r in run_in_one_process([(1, long), (2, "q" * 10 + long[300_000:400_000] + "z"), (3, long)])}
+    assert [got[i][2] for i in (1, 2, 3)] == [0, 100_000, 700_000]
+
+
 def test_collisions_are_verified(monkeypatch):
     """With base 1 a hash is the sum of the bytes, so anagrams collide."""
     monkeypatch.setattr(D, "_BASE", 1)
