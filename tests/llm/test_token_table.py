@@ -69,3 +69,35 @@ def test_lookup_over_blocks(tmp_path, monkeypatch):
 def test_empty_table(spark):
     shards = T.write_tokens(spark, spark.createDataFrame([], "doc_id long, text string"), new_path(spark, "t"), PATH)
     assert T.read_tokens(shards).count() == 0
+
+
+def test_long_texts_are_cut_where_words_end(monkeypatch):
+    tokenizer = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(T, "SLICE", 300)
+    monkeypatch.setattr(T, "PART", 40)
+    encoder = T.Encoder(PATH)
+    given = [(t or "") * 5 for t in texts()] + ["x" * 2000, "ab cd " * 400, "ab  cd " * 400]
+    got = list(encoder.documents(pa.array(given)))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in given]
+
+
+def test_words_are_remembered_in_two_generations(monkeypatch):
+    tokenizer = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(T, "WORDS", 20)
+    encoder = T.Encoder(PATH)
+    for t in texts():
+        assert np.frombuffer(encoder.encode(pa.array([t or ""]))[0], "<u2").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_a_large_vocabulary_takes_four_bytes_and_other_tokenizers_see_whole_texts(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    vocab = {"<unk>": 0} | {f"w{n}": n for n in range(1, 70_000)}
+    large = Tokenizer(models.WordLevel(vocab, unk_token="<unk>"))
+    large.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = f"{tmp_path}/large.json"
+    large.save(path)
+    rows = [(1, "w1 w69999"), (2, "w65536,  w65535"), (3, None)]
+    shards = T.write_tokens(spark, spark.createDataFrame(rows, "doc_id long, text string"), new_path(spark, "t"), path)
+    found = {doc: [x.tolist() for s in shards.collect() for x in T.Shard(s.path).get(doc)] for doc, _ in rows}
+    assert found == {1: [[1, 69999, 0]], 2: [[65536, 0, 65535, 0]], 3: [[0]]}
