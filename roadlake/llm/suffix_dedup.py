@@ -10,7 +10,7 @@ one context, and only contexts under equal anchors can share one. Then
    the others ship their anchor's hash and place,
 2. anchors that one document alone has are dropped,
 3. the others fetch their context's bytes from the text,
-4. each anchor's contexts are suffix-sorted: a radix pass over the first eight bytes, then a mergesort whose comparisons
+4. each anchor's contexts are suffix-sorted: a radix pass over the first bytes, then a mergesort whose comparisons
    find the common extension by binary search over prefix hashes, so a comparison takes logarithmic time. Equal strings
    are neighbours in that order; they are verified byte by byte, and a chunk with a collision is grouped by its bytes
    instead. Runs of equal contexts collapse to one with the least id; where an anchor has several contexts, their windows
@@ -48,9 +48,11 @@ GROUP = 8 << 20
 #: Bytes of text that one bucket of anchors stands for.
 BUCKET = 4 << 20
 #: Contexts of one anchor, in a group or in all, beyond which they are dealt as single windows.
-CROWD, HOT = 64, 1 << 15
+CROWD, HOT = 256, 1 << 15
 #: Bytes of contexts, and windows, that are sorted at a time, unless one anchor alone has more.
 CHUNK, WINDOWS = 1 << 20, 1 << 16
+#: Bytes by which strings are sorted before the mergesort.
+RADIX = 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -163,7 +165,7 @@ def _same_bytes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarr
 
 
 def _leading(buffer: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    """The first n bytes, up to 8, of the strings at ``start`` as numbers that sort as the bytes do."""
+    """n bytes, up to 8, of the strings at ``start`` as numbers that sort as the bytes do."""
     out = np.zeros(len(start), np.uint64)
     for at in range(n):
         out = (out << np.uint64(8)) | buffer[start + at].astype(np.uint64)
@@ -177,9 +179,12 @@ def _classes(ph: PrefixHash, buffer: np.ndarray, group: np.ndarray, start: np.nd
     """
     if not len(group):
         return np.zeros(0, np.int64)
-    head = _leading(buffer, start, min(8, int(size.min())))
-    order = np.lexsort((head, group))
-    tie = (group[order][1:] == group[order][:-1]) & (head[order][1:] == head[order][:-1])
+    n = min(RADIX, int(size.min()))
+    heads = [_leading(buffer, start + at, min(8, n - at)) for at in range(0, n, 8)]
+    order = np.lexsort((*heads[::-1], group))
+    tie = np.ones(len(order) - 1, bool)
+    for x in (group, *heads):
+        tie &= x[order][1:] == x[order][:-1]
     run = np.cumsum(np.r_[True, ~tie]) - 1
     some = np.flatnonzero(np.r_[tie, False] | np.r_[False, tie])
     inner = order[some]
@@ -628,8 +633,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     if not 0 < gram <= length <= 255:
         raise ValueError("gram must be from 1 to length, and length at most 255")
     scratch = Scratch(spark, "repeats")
-    # The tag tells rows with one id and different texts apart.
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    ids = docs.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null")
+    repeated = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    # The tag tells rows with one id and different texts apart; it travels with all records, so it is 0 where no id repeats.
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), (F.xxhash64(text_col) if repeated else F.lit(0).cast("bigint")).alias("tag"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = total // BUCKET + 1
     shared = rows.mapInArrow(_find(buckets, length, gram), _SHIPPED).groupBy("bucket").applyInArrow(_shared, _FOUND)
