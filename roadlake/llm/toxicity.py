@@ -3,7 +3,8 @@
 The categories are predicted in a set order. The first model sees a text's features; each later one also sees the
 probabilities of the categories before it. While training, those come from out-of-fold predictions, so that a later
 model learns from probabilities as unsure as those it will meet. Features are the presence of words and of word stems,
-picked in each fold by a chi-square test against the labels, and a few ratios of the whole text.
+picked in each fold by a chi-square test against the labels, and a few ratios of the whole text. The tests' counts are
+summed by the executors, and only words that some model may pick reach the driver.
 
 Fitted on a bounded sample of labelled rows (SAMPLE of them, the least by a hash of the id, so retries and other
 partitionings draw the same); every document is scored, whole, in one pass without a shuffle. The models are a few
@@ -79,6 +80,19 @@ def ratios(text: bytes) -> list[float]:
     return [share(_SYMBOLS), share(_DIGITS), share(_UPPER), text.count(b"\n") / max(1, n), float(n > 0)]
 
 
+def chi_square(every: np.ndarray, inside: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """Of words that ``every`` of n rows have, and ``inside`` of the n1 labelled ones."""
+    expected = every * n1 / n
+    spread = expected * (n - n1) * (n - every) / (n * n)
+    return np.divide((inside - expected) ** 2, spread, out=np.zeros(len(every)), where=spread > 0)
+
+
+def _best(chi: np.ndarray) -> np.ndarray:
+    """The places of the words that a model picks, best first; ``chi`` is in the order of the words' hashes."""
+    order = np.lexsort((np.arange(len(chi)), -chi))[:FEATURES]
+    return order[chi[order] >= CHI_SQUARE]
+
+
 class Words:
     """Which words each row of a sample has, as numbers: ``code[i]`` is a word of row ``row[i]``. Words are known by a 32-bit hash until names are asked for."""
 
@@ -106,11 +120,8 @@ class Words:
         of = mine[self.row]
         every = np.bincount(self.code[of], minlength=len(self.hashes)).astype(np.float64)
         inside = np.bincount(self.code[of & (y[self.row] > 0)], minlength=len(self.hashes))
-        expected = every * n1 / n
-        spread = expected * (n - n1) * (n - every) / (n * n)
-        chi = np.divide((inside - expected) ** 2, spread, out=np.zeros(len(every)), where=spread > 0)
-        order = np.lexsort((np.arange(len(chi)), -chi))[:FEATURES]
-        return order[chi[order] >= CHI_SQUARE]
+        chi = chi_square(every, inside, n, n1)
+        return _best(chi)
 
 
 def hashed(found: set[bytes]) -> np.ndarray:
@@ -214,10 +225,65 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = whole.slice(at, 1000)
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
             found = [words(t) for t in texts]
-            cols = {"id": b.column("id"), "words": pa.array([b" ".join(f) for f in found], pa.binary()), "hashes": pa.array([hashed(f).tobytes() for f in found], pa.binary()), "ratios": pa.array([ratios(t) for t in texts], pa.list_(pa.float64()))}
+            cols = {"id": b.column("id"), "words": pa.array([b" ".join(f) for f in found], pa.binary()), "hashes": pa.array([hashed(f).view(np.int32) for f in found], pa.list_(pa.int32())), "ratios": pa.array([ratios(t) for t in texts], pa.list_(pa.float64()))}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
+def _candidates(fits: list[tuple[int, int | None]], n: np.ndarray, n1: np.ndarray):
+    """For mapInArrow over (hash, rows, labelled): the hashes that a fit would pick if there were no others.
+
+    A fit is a category and the fold it leaves out; n has the rows of each fold, n1 the labelled ones by category and fold.
+    """
+
+    used = [[f for f in range(FOLDS) if f != out] for _, out in fits]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.uint32)) for _ in fits]  # the task's best so far
+        for b in batches:
+            if not len(b):
+                continue
+            hashes = b.column("hash").to_numpy().view(np.uint32)
+            rows = b.column("rows").flatten().to_numpy().reshape(len(b), -1)
+            labelled = b.column("labelled").flatten().to_numpy().reshape(len(b), n1.shape[0], -1)
+            for at, ((k, _), folds) in enumerate(zip(fits, used, strict=True)):
+                if 0 < n1[k][folds].sum() < n[folds].sum():
+                    chi = chi_square(rows[:, folds].sum(1).astype(np.float64), labelled[:, k, folds].sum(1), int(n[folds].sum()), int(n1[k][folds].sum()))
+                    chi, names = np.r_[best[at][0], chi], np.r_[best[at][1], hashes]
+                    order = np.argsort(names)
+                    order = order[_best(chi[order])]
+                    best[at] = chi[order], names[order]
+        found = np.unique(np.concatenate([names for _, names in best]))
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int32))], ["hash"])
+
+    return run
+
+
+def _wanted(rows: DataFrame, categories: int) -> np.ndarray:
+    """Hashes of all words that a model of the chain may pick: at most FEATURES for each fit and task that counts words."""
+    one = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(f"y{k}").alias(f"n{k}") for k in range(categories)]).collect()  # a row for each fold
+    n, n1 = np.zeros(FOLDS, np.int64), np.zeros((categories, FOLDS), np.int64)
+    for r in one:
+        n[r.fold], n1[:, r.fold] = r.n, [r[f"n{k}"] for k in range(categories)]
+    fits = [(k, out) for k in range(categories) for out in (None, *(range(FOLDS) if k + 1 < categories else ()))]
+    of = lambda c: F.array(*[F.sum(F.when((F.col("fold") == f) & c, 1).otherwise(0)).cast("int") for f in range(FOLDS)])
+    labelled = F.concat(*[of(F.col(f"y{k}") == 1) for k in range(categories)])
+    counts = rows.select("fold", *[f"y{k}" for k in range(categories)], F.explode("hashes").alias("hash")).groupBy("hash").agg(of(F.lit(True)).alias("rows"), labelled.alias("labelled"))
+    found = counts.mapInArrow(_candidates(fits, n, n1), "hash int").collect()
+    return np.unique(np.array([r.hash for r in found], np.int32).view(np.uint32))
+
+
+def _only(wanted: np.ndarray):
+    """For mapInArrow over (.., hashes): the same with the wanted hashes alone, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [np.intersect1d(np.array(h, np.int32).view(np.uint32), wanted).tobytes() for h in b.column("hashes").to_pylist()]
+            names = b.schema.names
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()) if n == "hashes" else b.column(n) for n in names], names)
+
+    return run
+
+
 def _named(wanted: set[int]):
     """For mapInArrow over (words): the words whose hash is wanted."""
 
@@ -232,21 +298,26 @@ def _named(wanted: set[int]):
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", sample: int = SAMPLE) -> Chain:
-    """A chain fitted on up to ``sample`` labelled documents. The driver holds 4 bytes for each of their distinct words, a few ratios and the labels."""
+    """A chain fitted on up to ``sample`` labelled documents. The driver holds their ratios and labels, and which of the words that a model may pick they have."""
     from xxhash import xxh32_intdigest
 
-    scratch = Scratch(spark, "toxicity")
-    known = labels.select(F.col(label_id_col).alias("id"), *[F.expr(f"cast({c} as int)").alias(f"y{n}") for n, (_, c) in enumerate(chain)]).dropna()
-    drawn = scratch.cut(known.groupBy("id").agg(*[F.max(f"y{n}").alias(f"y{n}") for n in range(len(chain))]).withColumn("draw", F.xxhash64("id")).orderBy("draw", "id").limit(sample))
+    scratch, categories = Scratch(spark, "toxicity"), len(chain)
+    marks = [f"y{n}" for n in range(categories)]
+    known = labels.select(F.col(label_id_col).alias("id"), *[F.expr(f"cast({c} as int)").alias(y) for y, (_, c) in zip(marks, chain, strict=True)]).dropna()
+    drawn = scratch.cut(known.groupBy("id").agg(*[F.max(y).alias(y) for y in marks]).withColumn("draw", F.xxhash64("id")).orderBy("draw", "id").limit(sample))
     mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn.select("id")), "id", "left_semi")  # at most `sample` ids
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = scratch.cut(mine.mapInArrow(_features, f"id {id_type}, words binary, hashes binary, ratios array<double>").join(F.broadcast(drawn), "id"))
+    found = mine.mapInArrow(_features, f"id {id_type}, words binary, hashes array<int>, ratios array<double>").join(F.broadcast(drawn), "id")
+    rows = scratch.cut(found.withColumn("fold", F.pmod("draw", F.lit(FOLDS)).cast("int")))
+    told = rows.select("draw", "id", "hashes", "ratios", "fold", *marks)
+    schema = ", ".join(f"{n} {'binary' if n == 'hashes' else kind}" for n, kind in told.dtypes)
+    reduced = told.mapInArrow(_only(_wanted(rows, categories)), schema)
     hashes, dense, y, folds = [], [], [], []
-    for r in rows.drop("words").orderBy("draw", "id", "hashes").toLocalIterator():
+    for r in reduced.orderBy("draw", "id", "ratios", "hashes").toLocalIterator():
         hashes.append(np.frombuffer(r.hashes, np.uint32))
         dense.append(r.ratios)
-        y.append([r[f"y{n}"] for n in range(len(chain))])
-        folds.append(r.draw % FOLDS)
+        y.append([r[n] for n in marks])
+        folds.append(r.fold)
     words_ = Words(hashes)
     del hashes
     model = Chain.train(words_, np.array(dense).reshape(len(y), _RATIOS), np.array(y).reshape(len(y), len(chain)), np.array(folds))
@@ -255,6 +326,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
     if wanted:  # the names of at most FEATURES words a model
         for (w,) in rows.select("words").mapInArrow(_named(wanted), "word binary").distinct().orderBy("word").collect():
             names.setdefault(xxh32_intdigest(bytes(w)), []).append(bytes(w))
+    scratch.drop(drawn, rows)
     return model.name_words(words_, names)
 
 

@@ -66,3 +66,25 @@ def test_no_labels_one_class_and_empty_table(spark):
     one = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert {r.p_toxic for r in X.score(spark, df, X.train(spark, df, one)).collect()} == {1.0}
     assert X.score(spark, df.limit(0), X.train(spark, df.limit(0), one)).count() == 0
+
+
+def test_scores_equal_those_of_one_process_that_sees_every_word(spark):
+    """Brute force: all words of the labelled texts in one process, and a plain sum for each text."""
+    docs, labels = corpus(600, 3)
+    df, given = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(labels[:500], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in X.score(spark, df, X.train(spark, df, given)).collect()}
+    draws = dict(spark.createDataFrame([(i,) for i in range(500)], "id long").selectExpr("id", "xxhash64(id)").collect())
+    order = sorted(range(500), key=lambda i: draws[i])
+    texts = {i: t.encode() for i, t in docs}
+    words = X.Words([X.hashed(X.words(texts[i])) for i in order])
+    y = np.array([[1 - labels[i][1], labels[i][2], labels[i][2] * (1 - labels[i][1])] for i in order])
+    chain = X.Chain.train(words, np.array([X.ratios(texts[i]) for i in order]), y, np.array([draws[i] % X.FOLDS for i in order]))
+    for i, text in texts.items():
+        known = set(X.hashed(X.words(text)).tolist())
+        dense = list(X.ratios(text))
+        for model, (name, _) in zip(chain.models, X.CHAIN):
+            inside = [float(int(words.hashes[c]) in known) for c in model.codes]
+            x = inside + [(v - m) / s for v, m, s in zip(dense, model.mean, model.scale)]
+            p = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(x, model.weights)) + model.bias)))
+            assert abs(got[i][f"p_{name}"] - p) < 1e-6
+            dense.append(p)
