@@ -13,7 +13,8 @@ the edges of a spanning forest, never all pairs. Runs longer than BLOCK are deal
 holds an unbounded group. Components follow by star rounds over the classes' least ids.
 
 ``wide_groups`` serves a looser similarity (Jaccard of shingles of 0.8 and more), which no number of differing bits stands
-for: it meets and counts the shingles themselves (``jaccard``) and reads no fingerprints.
+for. There texts meet under shingles (``jaccard``), fingerprints of 256 bits of the sets of shingles drop the pairs that
+differ in more bits than such a similarity leaves room for, and the shingles of the other pairs are counted.
 
 Defined results: a null or empty text has no words and the fingerprint zero, linked like any other; rows with a null id
 are returned with a null component and link nothing; repeated rows are all returned; empty tables give no rows; other
@@ -31,14 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlake.llm.components import components
-from roadlake.llm.jaccard import LOWER as _LOWER
+from roadlake.llm.fingerprints import LOWER as _LOWER
+from roadlake.llm.fingerprints import simhash
 from roadlake.llm.jaccard import jaccard_groups
 from roadlake.llm.shared import Scratch, table
 
 SEED = 42
 _SPACES = b" \t\n\x0b\x0c\r"  # what bytes.split() takes as white space
-#: Hashes whose bits are unpacked at a time.
-_CHUNK = 1 << 15
 #: Rows of one run that are compared in one task.
 BLOCK = 1 << 14
 #: Runs of up to this many rows are compared all together with array operations.
@@ -57,56 +57,27 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip(at, at[size:], strict=False)]
 
 
-def _mix(h: np.ndarray, n: int) -> np.ndarray:
-    """The n-th hash made from XXH64; the 0th is XXH64 itself."""
-    if not n:
-        return h
-    x = h + np.uint64((0x9E3779B97F4A7C15 * n) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def votes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each of 64 * width bits, how many hashes have it."""
-    total = np.zeros(64 * width, np.int64)
-    for start in range(0, len(hashes), _CHUNK):
-        part = hashes[start : start + _CHUNK]
-        for n in range(width):
-            bits = np.unpackbits(_mix(part, n).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total[64 * n : 64 * n + 64] += bits.sum(axis=0, dtype=np.int32)
-    return total
-
-
-def _fingerprints(size: int, width: int):
-    """For mapInArrow over (id, text): (id, f0 .. f<width-1>), and with width > 1 the least certain bit of each 16 as ``weak``."""
+def _fingerprints(size: int):
+    """For mapInArrow over (id, text): (id, f0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            out = np.zeros((len(texts), width), "<u8")
-            weak = np.zeros((len(texts), 4 * width), np.uint8)
-            for row, text in enumerate(texts):
-                hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles(text or b"", size)], "<u8")
+            out = np.zeros(len(b), "<u8")
+            for row, text in enumerate(b.column("text").cast(pa.binary())):
+                hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles(text.as_py() or b"", size)], "<u8")
                 if len(hashes):
-                    v = 2 * votes(hashes, width)
-                    out[row] = np.packbits(v > len(hashes), bitorder="little").view("<u8")
-                    if width > 1:
-                        weak[row] = np.abs(v - len(hashes)).reshape(-1, 16).argmin(axis=1)
-            cols = {"id": b.column("id")} | {f"f{n}": pa.array(out[:, n].view("<i8")) for n in range(width)}
-            if width > 1:
-                cols["weak"] = pa.array([w.tobytes() for w in weak], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+                    out[row] = simhash(hashes, 1)[0]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out.view("<i8"))], ["id", "f0"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, width: int = 1) -> DataFrame:
-    """id and ``width`` 64-bit words f0, f1, ... of each row's SimHash."""
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"f{n} bigint" for n in range(width)) + ", weak binary" * (width > 1)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(size, width), schema)
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """id and f0, the 64-bit SimHash of each row."""
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, f0 bigint"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(size), schema)
 
 
 class Ring:
@@ -138,17 +109,15 @@ class Ring:
         return viable
 
 
-def _near(ring: Ring | None, slot: int, most: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows of a and b (n, width) differ in at most ``most`` bits; the chain's budgets come first."""
+def _near(ring: Ring, slot: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a and b differ in at most ring.t bits; the chain's budgets come first."""
     x = a ^ b
-    if ring is None:
-        return np.bitwise_count(x).sum(axis=-1, dtype=np.int32) <= most
-    good = ring.passes(x[..., 0], slot)
-    good[good] = np.bitwise_count(x[..., 0][good]) <= most
+    good = ring.passes(x, slot)
+    good[good] = np.bitwise_count(x[good]) <= ring.t
     return good
 
 
-def _forest(ring: Ring | None, slot: int, most: int, f: np.ndarray) -> list[tuple[int, int]]:
+def _forest(ring: Ring, slot: int, f: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among the rows of f."""
     n = len(f)
     root = np.arange(n)
@@ -156,7 +125,7 @@ def _forest(ring: Ring | None, slot: int, most: int, f: np.ndarray) -> list[tupl
     waiting, leaders = np.arange(n), []
     while len(waiting):  # each leader takes what is near it: those form one group from now on
         lead = int(waiting[0])
-        near = _near(ring, slot, most, f[lead][None, :], f[waiting])
+        near = _near(ring, slot, f[lead], f[waiting])
         near[0] = True
         edges += [(lead, int(i)) for i in waiting[near][1:]]
         root[waiting[near]] = lead
@@ -169,14 +138,14 @@ def _forest(ring: Ring | None, slot: int, most: int, f: np.ndarray) -> list[tupl
             others = np.flatnonzero(root != root[i])
             if not len(others):
                 return edges
-            for j in others[_near(ring, slot, most, f[i][None, :], f[others])]:
+            for j in others[_near(ring, slot, f[i], f[others])]:
                 if root[i] != root[j]:
                     edges.append((int(i), int(j)))
                     root[root == root[j]] = root[i]
     return edges
 
 
-def _runs(ring: Ring | None, most: int, width: int):
+def _runs(ring: Ring):
     """For mapInArrow over rows sorted by (slot, key, part): (u, v) edges between classes' least ids."""
 
     def short(f: np.ndarray, group: np.ndarray, slot: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -185,7 +154,7 @@ def _runs(ring: Ring | None, most: int, width: int):
             same = np.flatnonzero(group[step:] == group[:-step])
             if not len(same):
                 return
-            near = same[_near(ring, slot, most, f[same], f[same + step])]
+            near = same[_near(ring, slot, f[same], f[same + step])]
             yield near, near + step
 
     def work(slot: int, key: np.ndarray, part: np.ndarray, f: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
@@ -199,7 +168,7 @@ def _runs(ring: Ring | None, most: int, width: int):
         starts = np.flatnonzero(change)
         for g in np.flatnonzero(sizes > SHORT):
             at = starts[g]
-            for a, b in _forest(ring, slot, most, f[at : at + sizes[g]]):
+            for a, b in _forest(ring, slot, f[at : at + sizes[g]]):
                 yield ids[at + a], ids[at + b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +176,7 @@ def _runs(ring: Ring | None, most: int, width: int):
 
         def flush(table_: pa.Table) -> pa.RecordBatch:
             slots, key, part, ids = (table_.column(c).to_numpy() for c in ("slot", "key", "part", "rep"))
-            f = np.stack([table_.column(f"f{n}").to_numpy().view(np.uint64) for n in range(width)], axis=1)
+            f = table_.column("f0").to_numpy().view(np.uint64)
             found = set()
             for slot in np.unique(slots):  # the rows are sorted by slot
                 at = slice(np.searchsorted(slots, slot, "left"), np.searchsorted(slots, slot, "right"))
@@ -235,8 +204,8 @@ def _runs(ring: Ring | None, most: int, width: int):
     return run
 
 
-def _link(spark: SparkSession, scratch: Scratch, keyed: DataFrame, ring: Ring | None, most: int, width: int) -> DataFrame:
-    """Edges (u, v) of spanning forests of all meeting places. ``keyed``: slot, key, rep, f0 ..."""
+def _link(scratch: Scratch, keyed: DataFrame, ring: Ring) -> DataFrame:
+    """Edges (u, v) of spanning forests of all meeting places. ``keyed``: slot, key, rep, f0."""
     long_runs = scratch.cut(keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     part = F.lit(0).cast("bigint")
     if long_runs.limit(1).count():
@@ -247,21 +216,9 @@ def _link(spark: SparkSession, scratch: Scratch, keyed: DataFrame, ring: Ring |
         keyed = dealt.withColumn("part", F.explode("part")).drop("n")
     else:
         keyed = keyed.withColumn("part", part)
-    words = [f"f{n}" for n in range(width)]
     rep = dict(keyed.dtypes)["rep"]
     # "part" belongs to the partitioning so that the blocks of a long run spread over tasks.
-    return keyed.select("slot", "key", "part", "rep", *words).repartition("slot", "key", "part").sortWithinPartitions("slot", "key", "part").mapInArrow(_runs(ring, most, width), f"u {rep}, v {rep}")
-
-
-def _grouped(spark: SparkSession, scratch: Scratch, prints: DataFrame, width: int, keys, ring: Ring | None, most: int) -> DataFrame:
-    """id, f0 .., component."""
-    words = [f"f{n}" for n in range(width)]
-    extra = ["weak"] if width > 1 else []
-    classes = scratch.cut(prints.where("id is not null").groupBy(*words).agg(F.min("id").alias("rep"), *[F.first(e).alias(e) for e in extra]))
-    edges = scratch.cut(_link(spark, scratch, keys(classes), ring, most, width))
-    found = components(spark, edges, scratch)
-    named = classes.join(found, classes["rep"] == found["node"], "left").select(*words, F.coalesce("component", "rep").alias("component"))
-    return prints.drop(*extra).join(named, words, "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component")))
+    return keyed.select("slot", "key", "part", "rep", "f0").repartition("slot", "key", "part").sortWithinPartitions("slot", "key", "part").mapInArrow(_runs(ring), f"u {rep}, v {rep}")
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, max_bits: int = 4) -> DataFrame:
@@ -277,8 +234,11 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         each = F.explode(F.array(*[F.struct(F.lit(n).cast("short").alias("slot"), F.col("f0").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(signed)]))
         return classes.withColumn("_k", each).select("_k.slot", "_k.key", "rep", "f0")
 
-    out = _grouped(spark, scratch, prints, 1, keys, ring, max_bits)
-    return out.select(F.col("id").alias(id_col), F.col("f0").alias("fingerprint"), F.col("component").alias("component_id"))
+    classes = scratch.cut(prints.where("id is not null").groupBy("f0").agg(F.min("id").alias("rep")))
+    found = components(spark, scratch.cut(_link(scratch, keys(classes), ring)), scratch)
+    named = classes.join(found, classes["rep"] == found["node"], "left").select("f0", F.coalesce("component", "rep").alias("component"))
+    out = prints.join(named, "f0", "left")
+    return out.select(F.col("id").alias(id_col), F.col("f0").alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def wide_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
