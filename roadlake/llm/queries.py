@@ -26,5 +26,4 @@ def oracle_sql() -> dict[str, str]:
         "op4_pivot_search": pivot_search.OP4_SQL,
         "op6_repeats": suffix_dedup.OP6_SQL,
         "op7_warc": warc.OP7_SQL,
-        "op10_sharding": sharding.OP10_SQL,
     }
