@@ -6,16 +6,19 @@ many rows as fit the token budget at the bucket's length. A bucket may hold most
 two levels: rows are dealt by a hash into groups, each group is ranked by itself, and the groups' counts give the
 offsets.
 
-Lengths below 2 ** 16 are bins of their own; longer ones share a bin when their 16 leading bits agree, so the driver
-holds at most 2 ** 15 bins for each doubling. The boundary of a shared bin is the longest length in it.
+Every length is a bin of its own, so the boundaries are the best there are. The driver holds 16 bytes for each distinct
+length and 8 for each bucket besides: lengths repeat, so these are far fewer than the texts.
 
 Defined results: a null or empty text has length 0 and pads to its bucket like any other; a text longer than the budget
-is a batch of its own size's bucket, one row a batch; repeated rows all get places; null ids are dealt like any other;
+is a batch of its own size's bucket, one row a batch; repeated rows all get places; null and repeated ids are dealt like
+any other;
 an empty table gives no rows; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,6 @@ BUCKETS = 16
 TOKEN_BUDGET = 16_384
 #: Rows of one ranked group of a bucket, on average.
 GROUP_ROWS = 50_000
-_EXACT_BITS = 16
 
 
 def n_words(text: Column) -> Column:
@@ -50,11 +52,11 @@ def best_buckets(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     if not n:
         return []
     cost: list[int | None] = [0] + [None] * n
-    layers: list[list[int]] = []
+    layers: list[array] = []
     best, best_layer = None, 0
     for layer in range(min(buckets, n)):
         hull: list[int] = []
-        at, nxt, choice = 0, [None] * (n + 1), [0] * (n + 1)
+        at, nxt, choice = 0, [None] * (n + 1), array("q", bytes(8 * (n + 1)))
 
         def useless(a: int, b: int, c: int, cost=cost) -> bool:
             """Whether line b is nowhere below both a and c (slopes -before fall from a to c)."""
@@ -87,10 +89,10 @@ def best_buckets(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
 def pack(spark: SparkSession, rows: DataFrame, id_col: str, length_col: str, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """id, n_tokens, bucket, bucket_len, batch (from 0 in each bucket), slot (place in the batch)."""
     scratch = Scratch(spark, "packing")
-    held = scratch.cut(rows.select(F.col(id_col).alias("id"), F.col(length_col).cast("bigint").alias("n")))
-    drop = F.greatest(F.lit(0), F.length(F.bin("n")) - _EXACT_BITS)
-    bins = held.groupBy(F.expr(f"shiftright(n, greatest(0, length(bin(n)) - {_EXACT_BITS}))").alias("lead"), drop.alias("drop"))
-    histogram = sorted((r[0], r[1]) for r in bins.agg(F.max("n").alias("upper"), F.count("*")).select("upper", "count(1)").collect())
+    # Rows are known by their places in this table, so that no id, null or repeated, makes a group large.
+    held = scratch.cut(rows.select(F.col(id_col).alias("id"), F.col(length_col).cast("bigint").alias("n"), F.monotonically_increasing_id().alias("row")))
+    bins = held.groupBy("n").agg(F.count("*").alias("rows")).toArrow()
+    histogram = sorted(zip(bins["n"].to_pylist(), bins["rows"].to_pylist(), strict=True))
     total = sum(k for _, k in histogram)
     uppers = best_buckets(histogram, buckets)
     if not uppers:
@@ -99,9 +101,9 @@ def pack(spark: SparkSession, rows: DataFrame, id_col: str, length_col: str, buc
     for k, upper in reversed(list(enumerate(uppers[:-1]))):
         bucket = F.when(F.col("n") <= upper, k).otherwise(bucket)
     groups = total // GROUP_ROWS + 1
-    order = F.xxhash64("id")
+    order = F.xxhash64("row")
     dealt = held.select("id", "n", bucket.alias("bucket"), order.alias("h"), F.pmod(order, F.lit(groups)).cast("int").alias("deal"))
-    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "deal").orderBy("h", "id", "n")))
+    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "deal").orderBy("h")))
     counts = dealt.groupBy("bucket", "deal").agg(F.count("*").alias("k"))
     first = counts.withColumn("first", F.coalesce(F.sum("k").over(Window.partitionBy("bucket").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
     lengths = F.array(*[F.lit(u).cast("bigint") for u in uppers])

@@ -52,11 +52,28 @@ def test_batches(spark, monkeypatch, group):
     check(P.pack_texts(spark, df, buckets=6, budget=200).collect(), lengths, 6, 200)
 
 
-def test_very_long_lengths_share_bins(spark):
-    lengths = [1, 70_000, 70_001, 1 << 40, (1 << 40) + 5]
+@pytest.mark.parametrize("buckets,uppers", [(9, [1, 70_001, 70_002, 70_003, 1 << 40, (1 << 40) + 5]), (3, [1, 70_003, (1 << 40) + 5])])
+def test_very_long_lengths_are_told_apart(spark, buckets, uppers):
+    lengths = [1, 70_001, 70_001, 70_002, 70_003, 1 << 40, (1 << 40) + 5]
     df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, k long")
-    rows = P.pack(spark, df, "doc_id", "k", 9, 100).collect()
-    assert sorted({r.bucket_len for r in rows}) == [1, 70_001, (1 << 40) + 5]
+    rows = P.pack(spark, df, "doc_id", "k", buckets, 100).collect()
+    assert sorted({r.bucket_len for r in rows}) == uppers
+    check(rows, lengths, buckets, 100)
+
+
+def test_rows_of_one_id_are_dealt_apart(spark, monkeypatch):
+    """A third of all rows have no id, and a third have one: no ranked group holds either third."""
+    monkeypatch.setattr(P, "GROUP_ROWS", 20)
+    seen = []
+    original = P.Window.partitionBy
+    monkeypatch.setattr(P.Window, "partitionBy", staticmethod(lambda *c: seen.append(c) or original(*c)))
+    lengths = [5] * 900
+    df = spark.createDataFrame([(None if n % 3 == 0 else 7 if n % 3 == 1 else n, 5) for n in range(900)], "doc_id long, k long")
+    rows = P.pack(spark, df, "doc_id", "k", 2, 50).collect()
+    check(rows, lengths, 2, 50)
+    held = P.Scratch.cut
+    deals = df.withColumn("row", F.monotonically_increasing_id()).groupBy(F.pmod(F.xxhash64("row"), F.lit(900 // 20 + 1))).count().agg(F.max("count")).first()[0]
+    assert ("bucket", "deal") in seen and held and deals < 60
 
 
 def test_empty_table(spark):
