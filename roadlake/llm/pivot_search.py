@@ -14,7 +14,8 @@ rows from each task.
 Defined results: vectors that are null, empty or hold a null or non-finite component, and rows with a null id, take no
 part; rows with the query's id are its own; repeated candidates each take a rank; repeated queries are asked once;
 vectors of another length than the query's are no candidates; with fewer candidates than k all are returned; an empty
-table gives no rows; other columns are not read. A component beyond 2 ** 28 after scaling raises an error.
+table gives no rows; other columns are not read. Components and scores beyond a 64-bit integer take its end; up to there
+all are exact.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ QUERIES = 4_096
 TASK_ROWS = 8_192
 #: Rows and queries whose bounds are compared at a time, and rows that are evaluated before the next stop test.
 _ROWS, _ASK, _STEP = 4_096, 64, 512
-_LIMIT = 1 << 28
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+#: The largest double below 2 ** 63.
+_TOP = float((1 << 63) - 1024)
 
 
 def _integers(scale: float):
@@ -56,30 +59,34 @@ def _integers(scale: float):
                 part = slice(end - n, end)
                 if i is None or not n or not known[part].all() or not np.isfinite(numbers[part]).all():
                     continue
-                v = np.floor(scale * numbers[part])
-                if np.abs(v).max() > _LIMIT:
-                    raise ValueError(f"vector {i} is too large for exact scores")
-                v = v.astype("<i4")
+                with np.errstate(over="ignore"):
+                    v = np.floor(scale * numbers[part])
+                ints = np.where(v > _TOP, _HIGH, np.where(v < _LOW, _LOW, np.clip(v, _LOW, _TOP).astype("<i8")))
                 ids.append(i)
                 dims.append(n)
-                vs.append(v.tobytes())
-                norms.append(int((v.astype(np.int64) ** 2).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vs, pa.binary()), pa.array(norms, pa.int64())], ["id", "dims", "v", "norm"])
+                vs.append(ints.tobytes())
+                norms.append(float((np.clip(v, _LOW, -float(_LOW)) ** 2).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vs, pa.binary()), pa.array(norms, pa.float64())], ["id", "dims", "v", "norm"])
 
     return run
 
 
 def _matrix(column, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<i4").reshape(-1, dims)
+    return np.frombuffer(b"".join(column), "<i8").reshape(-1, dims)
 
 
-def _exact(top: int):
-    """A type in which inner products of vectors of squared length up to ``top`` are exact."""
-    return np.float32 if top < 1 << 23 else np.float64 if top < 1 << 52 else np.int64
+def _exact(top: float):
+    """A type in which inner products of vectors of squared length up to ``top`` are exact: Python's integers at last."""
+    return np.float32 if top < 1 << 23 else np.float64 if top < 1 << 52 else np.int64 if top < 1 << 62 else object
 
 
-def _filled(v: np.ndarray, norms: np.ndarray, top: int) -> np.ndarray:
-    return np.c_[v.astype(np.float64), np.sqrt((top - norms).astype(np.float64))]
+def _whole(scores: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; those beyond take the end."""
+    return np.clip(scores, _LOW, _HIGH).astype(np.int64) if scores.dtype == object else scores.astype(np.int64)
+
+
+def _filled(v: np.ndarray, norms: np.ndarray, top: float) -> np.ndarray:
+    return np.c_[v.astype(np.float64), np.sqrt(np.maximum(0, top - norms))]
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,7 +122,7 @@ class Search:
     def __init__(self, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray, top: int, k: int, floors: np.ndarray) -> None:
         self.ids, self.k, self.top = ids, k, top
         self.v = v.astype(_exact(top))
-        self.norms = (v.astype(np.int64) ** 2).sum(1)
+        self.norms = (v.astype(np.float64) ** 2).sum(1)
         self.d = _distances(np.c_[v.astype(np.float64), np.zeros(len(v))], pivots).astype(np.float32)
         self.floors = floors.copy()  # scores that a row must reach
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), sorted
@@ -123,7 +130,7 @@ class Search:
 
     def _limits(self, q: slice) -> np.ndarray:
         """Distances beyond which no row reaches the floor; a margin covers the rounding of the table."""
-        square = self.norms[q].astype(np.float64) + self.top - 2 * self.floors[q]
+        square = self.norms[q] + self.top - 2 * self.floors[q].astype(np.float64)
         return np.sqrt(np.maximum(0, square)) * (1 + 1e-5) + 1e-5 * (1 + self.d[q].max(1, initial=0))
 
     def offer(self, ids: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
@@ -142,7 +149,7 @@ class Search:
                 if not len(go):
                     break
                 part = order[go, begin : begin + _STEP]
-                scores = np.matmul(rows[part], self.v[q][go][:, :, None])[:, :, 0].astype(np.int64)
+                scores = _whole(np.matmul(rows[part], self.v[q][go][:, :, None])[:, :, 0])
                 self.evaluated += scores.size
                 hit = (scores >= self.floors[q][go][:, None]) & (ids[part] != self.ids[q][go][:, None])
                 for n in np.flatnonzero(hit.any(1)):
@@ -192,7 +199,7 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of ``vectors`` for each row of ``queries``, ties to the smaller id."""
     scratch = Scratch(spark, "topk")
-    schema = "id bigint, dims int, v binary, norm bigint"
+    schema = "id bigint, dims int, v binary, norm double"
 
     def integers(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).mapInArrow(_integers(scale), schema)
@@ -216,8 +223,8 @@ def top_k(
         for block in _blocks(asked.orderBy("id", "v"), query_block):
             ids, v = np.array([r.id for r in block]), _matrix([r.v for r in block], dims)
             known = v.astype(kind) @ sample_v.astype(kind).T  # scores of rows that exist: the k-th of them is a floor
-            known = np.where(ids[:, None] == sample_ids[None, :], -(1 << 62), known.astype(np.int64))
-            floors = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(ids), -(1 << 62))
+            known = np.where(ids[:, None] == sample_ids[None, :], _LOW, _whole(known))
+            floors = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(ids), _LOW)
             sent = spark.sparkContext.broadcast({"ids": ids, "v": v, "pivots": picked, "floors": floors, "first": first})
             found = held.mapInArrow(_search(sent, dims, top, k), _PART)
             parts.append(found if len(block) < query_block else scratch.cut(found))

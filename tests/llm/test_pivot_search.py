@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from roadlake.llm import pivot_search as P
 
 
+def whole(n):
+    """What is beyond a 64-bit integer takes its end."""
+    return max(-(2**63), min(2**63 - 1, n))
+
+
 def brute(rows, asked, k):
     def ints(v):
-        return None if not v or any(x is None or not math.isfinite(x) for x in v) else [math.floor(64 * x) for x in v]
+        return None if not v or any(x is None or not math.isfinite(x) for x in v) else [whole(math.floor(64 * x) if abs(x) < 1e300 else int(x)) for x in v]
 
     known = [(i, ints(v)) for i, v in rows if i is not None and ints(v)]
     out = []
     for i, q in {(i, tuple(ints(v))) for i, v in asked if i is not None and ints(v)}:
-        scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in known if j != i and len(v) == len(q))[:k]
+        scores = sorted((-whole(sum(a * b for a, b in zip(q, v))), j) for j, v in known if j != i and len(v) == len(q))[:k]
         out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -32,7 +37,7 @@ def vectors(seed, n, dims, scale=1.0):
     return rows
 
 
-@pytest.mark.parametrize("dims,scale,block", [(8, 1.0, 4096), (3, 900.0, 7), (2, 5e5, 4096)])
+@pytest.mark.parametrize("dims,scale,block", [(8, 1.0, 4096), (3, 900.0, 7), (2, 5e5, 4096), (2, 2e7, 4096), (3, 1e17, 50), (2, 1e305, 4096)])
 def test_top_k_equals_brute_force(spark, dims, scale, block):
     rows = vectors(dims, 150, dims, scale)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("v", F.lit(1))
