@@ -38,10 +38,14 @@ _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Narrowest first: pattern of the whole candidate, and bits a character that a window must reach.
 CLASSES = [("^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("^([0-9a-z]+|[0-9A-Z]+)$", 3.7), ("^.*$", 4.0)]
-#: Candidates that are no secrets: words and paths without digits, numbers, UUIDs, alphabets in order, placeholders.
+#: A word, or a part of one in camel case: three letters or more of one case, at most the first of them a capital alone.
+_WORD = "(?:[A-Z]?[a-z]{3,}+|[A-Z]{3,}+)"
+#: Candidates that are no secrets: words and paths of words without digits (six consonants in a row are no word), numbers,
+#: UUIDs, and those of which a whole part is an alphabet in order or a placeholder.
 ALLOWED = (
-    "^[A-Za-z/_=+-]+$|^[0-9/_=+-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
-    "|0123456789|abcdefghijklm|ABCDEFGHIJKLM|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Xx]{8}"
+    rf"^(?!.*(?i:[bcdfghjklmnpqrstvwxz]{{6}}))[/_=+-]*(?:{_WORD}[/_=+-]*+|[A-Za-z]{{1,2}}(?:[/_=+-]++|$))+$"
+    r"|^[0-9/_=+-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+    r"|(?:^|[/_=+-])(?:0123456789[A-Za-z]*|[A-Za-z]*0123456789|(?i:abcdefghijklm[n-z]*[0-9]*|examples?|placeholder|x{8,}))(?:[/_=+-]|$)"
 )
 #: Matches are summed in blocks of this many, so that offsets take time in proportion to the matches.
 _BLOCK = 512

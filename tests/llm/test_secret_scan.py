@@ -59,3 +59,11 @@ def test_plan_is_native_and_empty_table(spark):
     assert found.count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+def test_only_words_and_whole_placeholders_are_allowed(spark):
+    random = ["qWmZkXbTnVhRcYpLsGdFjKwQxB", "Zk9example4Qw7LmX2vB8nR5tYc", "xqzjvkwbtgmpfhdlrncsyaoeui"]
+    words = ["some_configuration/internationalization", "ApplicationContextConfiguration", "https/www/some-path/of-words/that/is/long", "abcdefghijklmnopqrstuvwxyz0123", "aB3kQ9xY7/example/Zt5Rm2Wn8Pq4"]
+    got = {r.doc_id: r.spans for r in S.scan(spark.createDataFrame(list(enumerate(random + words)), "doc_id int, text string")).collect()}
+    assert [got[n] for n in range(3)] == [f"entropy:0:{len(x)}" for x in random]
+    assert all(got[n] == "" for n in range(3, 8))
