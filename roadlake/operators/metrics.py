@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roadlake.functions import boxes, scalar
 from roadlake.functions.boxes import Box
+from roadlake.session import written
 
 LADDER = list(range(50, 100, 5))
 _P, _G = Box.prefixed("p_"), Box.prefixed("g_")
@@ -99,9 +100,12 @@ def _per_truth(area: DataFrame, truths: DataFrame, by: list[str], thresholds: li
 
 
 def average_precision(claimed: DataFrame, truths: DataFrame, thresholds: list[int] = LADDER, by: list[str] = ("class",)) -> DataFrame:
-    """ap of each group and threshold. Ranks don't depend on the threshold; only true positives are multiplied by it."""
+    """ap of each group and threshold. Ranks don't depend on the threshold; only true positives are multiplied by it.
+
+    Ranks read the claims twice and the area reads the true positives twice, so both are written once.
+    """
     by = list(by)
-    ranked = _running(claimed.select(*by, "pred_id", "confidence", "reach", "before"), by, "rank").where("reach > before")
+    ranked = written(_running(written(claimed.select(*by, "pred_id", "confidence", "reach", "before")), by, "rank").where("reach > before"))
     each = ranked.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: (t <= F.col("reach")) & (t > F.col("before")))))
     return _per_truth(_area(each, [*by, "threshold"]), truths, by, thresholds)
 
@@ -136,17 +140,17 @@ def by_size(predictions: DataFrame, truths: DataFrame, small: int, large: int, t
     own = predictions.select("pred_id", cut(boxes.area()).alias("own_size"))
     placed = judged.join(sized.select(F.col("gt_id").alias("hit"), F.col("size").alias("hit_size")), "hit", "left").join(own, "pred_id").withColumn("size", F.coalesce("hit_size", "own_size"))
     group = ["class", "size", "threshold"]
-    ranked = _running(placed.select(*group, "pred_id", "confidence", "tp"), group, "rank")
-    return _per_truth(_area(ranked.where("tp = 1"), group), sized, ["class", "size"], thresholds)
+    ranked = written(_running(written(placed.select(*group, "pred_id", "confidence", "tp")), group, "rank").where("tp = 1"))
+    return _per_truth(_area(ranked, group), sized, ["class", "size"], thresholds)
 
 
 def pareto(models: DataFrame, higher: list[str], key: str) -> DataFrame:
-    """Models that no other beats or equals everywhere and beats somewhere. No single metric ranks them. One row a model: a small table."""
-    a, b = models.alias("a"), models.select(*[F.col(c).alias("o_" + c) for c in (key, *higher)])
+    """Models that no other beats or equals everywhere and beats somewhere. No single metric ranks them. Models with the same metrics meet once."""
+    a, b = models.alias("a"), models.select(*[F.col(c).alias("o_" + c) for c in higher]).distinct()
     no_worse, better = F.lit(True), F.lit(False)
     for c in higher:
         no_worse, better = no_worse & (F.col("o_" + c) >= F.col(c)), better | (F.col("o_" + c) > F.col(c))
-    return a.join(F.broadcast(b), no_worse & better, "left_anti")
+    return a.join(b, no_worse & better, "left_anti")
 
 
 def comparable(experiments: DataFrame, fixed: list[str], key: str = "comparison") -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from roadlake.contracts import TRANSITIONS
 from roadlake.operators import joins, tracks
+from roadlake.session import written
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -31,21 +37,44 @@ def ingest_events(spark: SparkSession, batch: DataFrame, target: str, key: str =
     new_only(batch, read_or_empty(spark, target, batch.schema), key).write.mode("append").parquet(target)
 
 
+def _judged(df: DataFrame, log: str) -> DataFrame:
+    """Judged rows, written beside their log before any of them goes into it."""
+    return written(df, f"{log.rstrip('/')}-judged/{uuid.uuid4().hex}")
+
+
+def judge_moves(changes: DataFrame, stored: DataFrame, kind: str = "review", order: list[str] = ("at", "state")) -> DataFrame:
+    """Status changes (event_id, state, at) with ``previous``, the state each meets, and whether it is ``legal``.
+
+    An event's changes are judged in order, each against the last legal one before it, be that stored or of the same
+    batch. An event's first state must be one that no move leads to. A change without an event or state is illegal.
+    """
+    now = tracks.latest(stored, "event_id", ["at", "state"]).select("event_id", F.col("state").alias("previous"))
+    moves = set(TRANSITIONS[kind])
+    first = {a for a, _ in moves} - {b for _, b in moves}
+    schema = StructType([*changes.schema, StructField("previous", StringType()), StructField("legal", BooleanType())])
+    columns = changes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        event, current = None, None
+        for b in batches:  # an event's rows follow each other, also from batch to batch
+            met, legal = [], []
+            for e, state, stored_state in zip(*(b.column(c).to_pylist() for c in ("event_id", "state", "previous")), strict=True):
+                if e != event or e is None:
+                    event, current = e, stored_state
+                good = e is not None and (state in first if current is None else (current, state) in moves)
+                met.append(current)
+                legal.append(good)
+                current = state if good else current
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(met, pa.string()), pa.array(legal, pa.bool_())], schema.names)
+
+    return changes.join(now, "event_id", "left").select(*columns, "previous").repartition("event_id").sortWithinPartitions("event_id", *order).mapInArrow(run, schema)
+
+
 def append_status(spark: SparkSession, log: str, changes: DataFrame, kind: str = "review") -> DataFrame:
     """Appends legal status changes (event_id, state, at) to a log; the illegal ones are returned and not written."""
-    stored = read_or_empty(spark, log, changes.schema)
-    now = tracks.latest(stored, "event_id", ["at", "state"]).select("event_id", F.col("state").alias("previous"))
-    moves = [f"{a}>{b}" for a, b in TRANSITIONS[kind]]
-    first = {a for a, _ in TRANSITIONS[kind]} - {b for _, b in TRANSITIONS[kind]}
-    judged = changes.join(now, "event_id", "left").withColumn(
-        "legal", F.coalesce(F.concat_ws(">", F.when(F.col("previous").isNotNull(), F.col("previous")), "state").isin(moves) | (F.col("previous").isNull() & F.col("state").isin(list(first))), F.lit(False))
-    ).persist()
-    try:
-        illegal = spark.createDataFrame(judged.where("not legal").select(*changes.columns, "previous").collect(), judged.select(*changes.columns, "previous").schema)  # one request's rows
-        judged.where("legal").select(*changes.columns).write.mode("append").parquet(log)
-    finally:
-        judged.unpersist()
-    return illegal
+    judged = _judged(judge_moves(changes, read_or_empty(spark, log, changes.schema), kind), log)
+    judged.where("legal").select(*changes.columns).write.mode("append").parquet(log)
+    return judged.where("not legal").drop("legal")
 
 
 def current_status(log: DataFrame) -> DataFrame:
@@ -60,10 +89,6 @@ def add_reports(spark: SparkSession, reports: DataFrame, events: DataFrame, targ
     taken = stored.select("event_id").distinct().withColumn("_taken", F.lit(True))
     judged = reports.withColumn("_nth", F.row_number().over(w)).join(known, "event_id", "left").join(taken, "event_id", "left")
     reason = F.when(F.col("_known").isNull(), "unknown_event").when(F.col("_taken").isNotNull() | (F.col("_nth") > 1), "second_report")
-    judged = judged.withColumn("reason", reason).drop("_nth", "_known", "_taken").persist()
-    try:
-        rejects = spark.createDataFrame(judged.where("reason is not null").collect(), judged.schema)  # one request's rows
-        judged.where("reason is null").select(*reports.columns).write.mode("append").parquet(target)
-    finally:
-        judged.unpersist()
-    return rejects
+    judged = _judged(judged.withColumn("reason", reason).drop("_nth", "_known", "_taken"), target)
+    judged.where("reason is null").select(*reports.columns).write.mode("append").parquet(target)
+    return judged.where("reason is not null")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from roadlake.functions import boxes, scalar
 from roadlake.operators import boxes_ops, datasets, integrity, joins, metrics, store, tracks
 from roadlake.operators import validation as V
 from roadlake.plans import bridge as B
+from roadlake.session import shared_folder as _folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -63,11 +63,10 @@ def normalized_classes(spark, sf):
     return V.normalize_class(B.raw_detections(spark, sf), B.CLASSES, default="other").groupBy("class", "label").agg(F.count("*").alias("n"))
 
 
-@query(_with(B.RAW_SQL, "SELECT detection_id, CASE WHEN confidence > 1 THEN 1.0 ELSE confidence END AS confidence FROM raw WHERE confidence > 0.95"))
+@query(_with(B.RAW_SQL, "SELECT detection_id, CASE WHEN confidence > 1 THEN 1.0 WHEN confidence < 0 THEN 0.0 ELSE confidence END AS confidence FROM raw"))
 def clamped_confidence(spark, sf):
     """P5, the other mode: out-of-range confidences moved to the bound."""
-    raw = B.raw_detections(spark, sf).where("confidence > 0.95")
-    return V.clamp_confidence(raw).select("detection_id", "confidence")
+    return V.clamp_confidence(B.raw_detections(spark, sf)).select("detection_id", "confidence")
 
 
 @query(
@@ -292,10 +291,10 @@ def orphan_reports(spark, sf):
     return joins.without_match(B.reports(spark, sf), B.event_store(spark, sf), "event_id").select("report_id")
 
 
-@query(_with(B.TRACKS_SQL, "SELECT evidence_id FROM evidence WHERE event_id IN (SELECT event_id FROM store WHERE confidence > 0.9)"))
+@query(_with(B.TRACKS_SQL, "SELECT evidence_id FROM evidence WHERE event_id IN (SELECT event_id FROM store)"))
 def evidence_of_events(spark, sf):
     """Evidence of events that exist."""
-    return joins.with_match(B.evidence(spark, sf), B.event_store(spark, sf).where("confidence > 0.9"), "event_id").select("evidence_id")
+    return joins.with_match(B.evidence(spark, sf), B.event_store(spark, sf), "event_id").select("evidence_id")
 
 
 @query(_with(B.TRACKS_SQL, "SELECT event_id FROM store WHERE track_seq % 3 <> 0"))
@@ -417,11 +416,33 @@ def dataset_acceptance(spark, sf):
     )
 
 
-@query(_with(B.EXPERIMENTS_SQL, "SELECT experiment_id, 'image_size' AS missing FROM experiments WHERE image_size IS NULL"))
+_OTHER_FIELDS = [c for c in EXPERIMENT_FIELDS if c not in ("experiment_id", "dataset_version", "image_size")]
+_LACKING = ", ".join(f"CASE WHEN {'image_size IS NULL' if c == 'image_size' else f'started_at % {_OTHER_FIELDS.index(c) + 3} = 1' if c in _OTHER_FIELDS else f'{c} IS NULL'} THEN '{c}' END" for c in EXPERIMENT_FIELDS)
+
+
+@query(_with(B.EXPERIMENTS_SQL, f"SELECT * FROM (SELECT experiment_id, array_to_string(list_filter([{_LACKING}], lambda c: c IS NOT NULL), ',') AS missing FROM experiments) WHERE missing <> ''"))
 def missing_fields(spark, sf):
-    """Experiments that can't be reproduced, and what they lack."""
-    present = [c for c in EXPERIMENT_FIELDS if c in ("experiment_id", "dataset_version", "image_size")]
-    return integrity.missing_fields(B.experiments(spark, sf), "experiment_id", present)
+    """Experiments that can't be reproduced, and which of the 17 fields they lack."""
+    full = B.experiments(spark, sf).withColumns({c: F.when(F.col("started_at") % (n + 3) != 1, F.lit("x")) for n, c in enumerate(_OTHER_FIELDS)})
+    return integrity.missing_fields(full, "experiment_id", EXPERIMENT_FIELDS)
+
+
+_STATES = ["created", "pending", "approved", "rejected", "resolved", "closed"]
+_LEGAL = "coalesce(CASE WHEN {0} IS NULL THEN {1} = 'created' ELSE {0} || '>' || {1} IN (" + ", ".join(f"'{a}>{b}'" for a, b in TRANSITIONS["review"]) + ") END, false)"
+
+
+@query(
+    f"WITH RECURSIVE changes AS (SELECT event_id AS seq, user_id AS event_id, {_STATES}[event_id % 6 + 1] AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events), "
+    "walk AS (SELECT nth, seq, event_id, state, CASE WHEN event_id % 2 = 0 THEN 'pending' END AS previous FROM changes WHERE nth = 1 "
+    f"UNION ALL SELECT c.nth, c.seq, c.event_id, c.state, CASE WHEN {_LEGAL.format('w.previous', 'w.state')} THEN w.state ELSE w.previous END FROM walk w JOIN changes c ON c.event_id = w.event_id AND c.nth = w.nth + 1) "
+    f"SELECT seq, event_id, state, previous, {_LEGAL.format('previous', 'state')} AS legal FROM walk"
+)
+def status_moves(spark, sf):
+    """T5, PATCH status: chained and rival moves of one batch, each judged against the last legal one before it."""
+    e = B.table(spark, sf, "events")
+    changes = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("event_id"), F.get(F.array(*map(F.lit, _STATES)), (F.col("event_id") % 6).cast("int")).alias("state"), F.col("ts").alias("at"))
+    stored = e.where("user_id % 2 = 0").select(F.col("user_id").alias("event_id"), F.lit("pending").alias("state"), F.lit(0).alias("at")).distinct()
+    return store.judge_moves(changes, stored, order=["at", "seq"]).select("seq", "event_id", "state", "previous", "legal")
 
 
 @query(
@@ -745,16 +766,14 @@ def overlap_tracks(spark, sf):
     return boxes_ops.associate(B.detections(spark, sf), gap_seconds=B.GAP_SECONDS).select("source_id", "detection_id", "track_no")
 
 
-def _folder(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/roadlake"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _detection_files(spark, sf):
-    """The detections as a folder of files, as a stream reads them."""
+    """The detections as a folder of files that arrive in the order of time, as a stream reads them."""
     path = _folder(spark, "detections")
     held = B.detections(spark, sf).withColumn("capture_timestamp", F.col("capture_timestamp").cast("timestamp"))
-    held.repartitionByRange(4, "capture_timestamp").write.parquet(path)
+    low, high = held.agg(F.min("capture_timestamp").cast("double"), F.max("capture_timestamp").cast("double")).first()
+    quarter = F.least(F.lit(3), F.floor((F.col("capture_timestamp").cast("double") - low) * 4 / (high - low + 1e-3)))
+    for n in range(4):
+        held.where(quarter == n).write.mode("append").parquet(path)
     return path
 
 

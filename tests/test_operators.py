@@ -197,3 +197,23 @@ def test_manifest_ignores_row_order(spark):
     df = spark.createDataFrame([(n, f"t{n}", None if n % 3 else "x") for n in range(50)], "k int, a string, b string")
     one, two = (datasets.manifest(d, "k", ["a", "b"], "1").first() for d in (df, df.orderBy(F.desc("k")).repartition(7)))
     assert one == two and datasets.manifest(df.where("k > 0"), "k", ["a", "b"], "1").first() != one
+
+
+def test_moves_of_one_batch_are_judged_in_order(spark):
+    schema = "event_id string, state string, at int"
+    stored = spark.createDataFrame([("a", "created", 1), ("a", "pending", 2), ("b", "created", 1)], schema)
+    changes = spark.createDataFrame([("a", "approved", 3), ("a", "rejected", 4), ("a", "closed", 5), ("b", "pending", 3), ("b", "approved", 4), ("c", "pending", 1), ("c", "created", 2), (None, "created", 1), ("d", None, 1)], schema)
+    got = {(r.event_id, r.state): (r.previous, r.legal) for r in store.judge_moves(changes, stored).collect()}
+    assert got == {
+        ("a", "approved"): ("pending", True), ("a", "rejected"): ("approved", False), ("a", "closed"): ("approved", True),
+        ("b", "pending"): ("created", True), ("b", "approved"): ("pending", True),
+        ("c", "pending"): (None, False), ("c", "created"): (None, True), (None, "created"): (None, False), ("d", None): (None, False),
+    }
+
+
+def test_suppression_leaves_rows_with_nulls_out_and_keeps_types(spark):
+    rows = [(1, "f", "a", 0.9, 0, 0, 10, 10, 5), (2, "f", "a", 0.8, 1, 0, 11, 10, None), (3, "f", "a", 0.7, None, 0, 60, 10, 1), (4, None, "a", 0.9, 0, 0, 10, 10, 1), (5, "g", "a", 0.5, 0, 0, 10, 10, None), (6, "g", "a", 0.4, 50, 0, 60, 10, 7)]
+    df = spark.createDataFrame(rows, "pred_id long, frame_id string, class string, confidence double, x1 int, y1 int, x2 int, y2 int, extra int")
+    assert {(r.pred_id, r.extra) for r in boxes_ops.suppress(df).collect()} == {(1, 5), (5, None), (6, 7)}
+    assert {(r.pred_id, r.reason) for r in boxes_ops.unsuppressed(df).collect()} == {(3, "missing_x1"), (4, "missing_frame_id")}
+    assert boxes_ops.suppress(df.limit(0)).count() == 0
