@@ -25,7 +25,7 @@ def main() -> None:
     spark.read.parquet(f"{sf}/region.parquet").count()  # the session's start is not measured
     for name in QUERIES:
         runs = []
-        for _ in range(2):  # the first run compiles; the second is reported
+        for _ in range(2):  # the first run compiles; the faster is reported
             began = time.time()
             known[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - began)

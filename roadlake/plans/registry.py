@@ -241,10 +241,11 @@ def listed_events(spark, sf):
     return V.public_view(V.list_events(B.event_store(spark, sf), status=["confirmed", "closed"], since="2024-01-10 00:00:00", until="2024-01-20 00:00:00", least_confidence=0.9))
 
 
-@query(_with(B.TRACKS_SQL, "SELECT event_id, source_id, timestamp, confidence, status FROM store WHERE event_id = '7-1'"))
+@query(_with(B.TRACKS_SQL, "SELECT event_id, source_id, timestamp, confidence, status FROM store WHERE event_id = (SELECT min(event_id) FROM store)"))
 def event_by_id(spark, sf):
-    """One event."""
-    return V.public_view(V.by_key(B.event_store(spark, sf), "event_id", "7-1"))
+    """One event, that with the least id, so that there is one in tables of any size."""
+    events = B.event_store(spark, sf)
+    return V.public_view(V.by_key(events, "event_id", events.agg(F.min("event_id")).first()[0]))
 
 
 @query(_with(B.TRACKS_SQL, "SELECT event_id, site, active FROM store JOIN cameras ON source_id = camera_id"))
