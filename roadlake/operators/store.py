@@ -42,37 +42,40 @@ def _judged(df: DataFrame, log: str) -> DataFrame:
     return written(df, f"{log.rstrip('/')}-judged/{uuid.uuid4().hex}")
 
 
-def judge_moves(changes: DataFrame, stored: DataFrame, kind: str = "review", order: list[str] = ("at", "state")) -> DataFrame:
-    """Status changes (event_id, state, at) with ``previous``, the state each meets, and whether it is ``legal``.
+def judge_moves(changes: DataFrame, stored: DataFrame, kind: str = "review", order: list[str] = ("at", "state"), key: str = "event_id") -> DataFrame:
+    """Status changes (key, state, at) with ``previous``, the state each meets, and whether it is ``legal``.
 
-    An event's changes are judged in order, each against the last legal one before it, be that stored or of the same
-    batch. An event's first state must be one that no move leads to. A change without an event or state is illegal.
+    The changes of a key are judged in order, each against the last legal one before it, be that stored or of the same
+    batch. A key's first state must be one that no move leads to. A change without a key or state is illegal.
     """
-    now = tracks.latest(stored, "event_id", ["at", "state"]).select("event_id", F.col("state").alias("previous"))
+    now = tracks.latest(stored, key, ["at", "state"]).select(key, F.col("state").alias("previous"))
     moves = set(TRANSITIONS[kind])
     first = {a for a, _ in moves} - {b for _, b in moves}
     schema = StructType([*changes.schema, StructField("previous", StringType()), StructField("legal", BooleanType())])
     columns = changes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        event, current = None, None
-        for b in batches:  # an event's rows follow each other, also from batch to batch
+        last, current = None, None
+        for b in batches:  # a key's rows follow each other, also from batch to batch
             met, legal = [], []
-            for e, state, stored_state in zip(*(b.column(c).to_pylist() for c in ("event_id", "state", "previous")), strict=True):
-                if e != event or e is None:
-                    event, current = e, stored_state
-                good = e is not None and (state in first if current is None else (current, state) in moves)
+            for k, state, stored_state in zip(*(b.column(c).to_pylist() for c in (key, "state", "previous")), strict=True):
+                if k != last or k is None:
+                    last, current = k, stored_state
+                good = k is not None and (state in first if current is None else (current, state) in moves)
                 met.append(current)
                 legal.append(good)
                 current = state if good else current
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(met, pa.string()), pa.array(legal, pa.bool_())], schema.names)
 
-    return changes.join(now, "event_id", "left").select(*columns, "previous").repartition("event_id").sortWithinPartitions("event_id", *order).mapInArrow(run, schema)
+    return changes.join(now, key, "left").select(*columns, "previous").repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def append_status(spark: SparkSession, log: str, changes: DataFrame, kind: str = "review") -> DataFrame:
-    """Appends legal status changes (event_id, state, at) to a log; the illegal ones are returned and not written."""
-    judged = _judged(judge_moves(changes, read_or_empty(spark, log, changes.schema), kind), log)
+def append_status(spark: SparkSession, log: str, changes: DataFrame, kind: str = "review", key: str = "event_id") -> DataFrame:
+    """Appends legal status changes (key, state, at) to a log; the illegal ones are returned and not written.
+
+    For reports, ``kind`` is report and ``key`` is report_id.
+    """
+    judged = _judged(judge_moves(changes, read_or_empty(spark, log, changes.schema), kind, key=key), log)
     judged.where("legal").select(*changes.columns).write.mode("append").parquet(log)
     return judged.where("not legal").drop("legal")
 

@@ -217,3 +217,11 @@ def test_suppression_leaves_rows_with_nulls_out_and_keeps_types(spark):
     assert {(r.pred_id, r.extra) for r in boxes_ops.suppress(df).collect()} == {(1, 5), (5, None), (6, 7)}
     assert {(r.pred_id, r.reason) for r in boxes_ops.unsuppressed(df).collect()} == {(3, "missing_x1"), (4, "missing_frame_id")}
     assert boxes_ops.suppress(df.limit(0)).count() == 0
+
+
+def test_report_status_moves(spark, tmp_path):
+    changes = lambda *rows: spark.createDataFrame(rows, "report_id string, state string, at int")
+    log = f"{tmp_path}/reports"
+    assert store.append_status(spark, log, changes(("r", "pending", 1), ("s", "approved", 1)), "report", "report_id").select("report_id", "previous").collect() == [("s", None)]
+    assert store.append_status(spark, log, changes(("r", "resolved", 3), ("r", "approved", 2), ("r", "pending", 4)), "report", "report_id").select("state", "previous").collect() == [("pending", "resolved")]
+    assert sorted(r.state for r in spark.read.parquet(log).collect()) == ["approved", "pending", "resolved"]
