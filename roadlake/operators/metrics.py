@@ -100,14 +100,30 @@ def _per_truth(area: DataFrame, truths: DataFrame, by: list[str], thresholds: li
 
 
 def average_precision(claimed: DataFrame, truths: DataFrame, thresholds: list[int] = LADDER, by: list[str] = ("class",)) -> DataFrame:
-    """ap of each group and threshold. Ranks don't depend on the threshold; only true positives are multiplied by it.
+    """ap of each group and threshold.
 
-    Ranks read the claims twice and the area reads the true positives twice, so both are written once.
+    One window counts a step of confidence's hits at all thresholds, and the steps before move them; a second one, from
+    the step's far end, takes the best precision at each hit's recall or beyond. Rows are never multiplied by thresholds.
     """
-    by = list(by)
-    ranked = written(_running(written(claimed.select(*by, "pred_id", "confidence", "reach", "before")), by, "rank").where("reach > before"))
-    each = ranked.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: (t <= F.col("reach")) & (t > F.col("before")))))
-    return _per_truth(_area(each, [*by, "threshold"]), truths, by, thresholds)
+    by, steps = list(by), [*by, "_step"]
+    tp = {t: (F.col("before") < t) & (F.col("reach") >= t) for t in thresholds}
+    down = Window.partitionBy(*steps).orderBy(F.desc("confidence"), "pred_id")
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    rows = claimed.select(*by, "pred_id", "confidence", "reach", "before").withColumn("_step", _step())
+    # Three branches read these: written once, the matching below is computed once.
+    line = written(rows.withColumns({"_nth": F.row_number().over(down), **{f"_h{t}": F.sum(c.cast("int")).over(upto) for t, c in tp.items()}}))
+    counts = line.groupBy(*steps).agg(F.max("_nth").alias("_nth"), *[F.max(f"_h{t}").alias(f"_h{t}") for t in tp])
+    earlier = Window.partitionBy(*by).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)  # at most STEPS rows
+    base = counts.select(*steps, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias("_before" + c) for c in ("_nth", *(f"_h{t}" for t in tp))])
+    placed = line.join(base, steps).withColumns({f"_p{t}": F.when(c, (F.col(f"_before_h{t}") + F.col(f"_h{t}")) / (F.col("_before_nth") + F.col("_nth"))) for t, c in tp.items()})
+    best = placed.groupBy(*steps).agg(*[F.max(f"_p{t}").alias(f"_best{t}") for t in tp])
+    beyond = Window.partitionBy(*by).orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)  # at most STEPS rows
+    later = best.select(*steps, *[F.coalesce(F.max(f"_best{t}").over(beyond), F.lit(0.0)).alias(f"_later{t}") for t in tp])
+    up = Window.partitionBy(*steps).orderBy(F.asc("confidence"), F.desc("pred_id")).rowsBetween(Window.unboundedPreceding, 0)
+    hull = placed.select(*steps, *[F.col(f"_p{t}") for t in tp], *[F.max(f"_p{t}").over(up).alias(f"_here{t}") for t in tp]).join(later, steps)
+    areas = hull.groupBy(*by).agg(*[F.sum(F.when(F.col(f"_p{t}").isNotNull(), F.greatest(f"_here{t}", f"_later{t}"))).alias(f"_a{t}") for t in tp])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_a{t}").alias("area")) for t in tp]))
+    return _per_truth(areas.select(*by, each.alias("_t")).select(*by, "_t.threshold", "_t.area"), truths, by, thresholds)
 
 
 def average_precision_101(claimed: DataFrame, truths: DataFrame, thresholds: list[int] = LADDER, by: list[str] = ("class",)) -> DataFrame:
