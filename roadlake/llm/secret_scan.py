@@ -42,8 +42,9 @@ CLASSES = [("^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("^([0-9a-z]+|[0-9A-Z]+)$", 3.7), (
 _WORD = "(?:[A-Z]?[a-z]{3,}+|[A-Z]{3,}+)"
 #: Candidates that are no secrets: words and paths of words without digits (six consonants in a row are no word), numbers,
 #: UUIDs, and those of which a whole part is an alphabet in order or a placeholder.
+#: Words are repeated possessively: a candidate has one reading, and Java's other loops need stack for each word.
 ALLOWED = (
-    rf"^(?!.*(?i:[bcdfghjklmnpqrstvwxz]{{6}}))[/_=+-]*(?:{_WORD}[/_=+-]*+|[A-Za-z]{{1,2}}(?:[/_=+-]++|$))+$"
+    rf"^(?!.*(?i:[bcdfghjklmnpqrstvwxz]{{6}}))[/_=+-]*(?:{_WORD}[/_=+-]*+|[A-Za-z]{{1,2}}(?:[/_=+-]++|$))++$"
     r"|^[0-9/_=+-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
     r"|(?:^|[/_=+-])(?:0123456789[A-Za-z]*|[A-Za-z]*0123456789|(?i:abcdefghijklm[n-z]*[0-9]*|examples?|placeholder|x{8,}))(?:[/_=+-]|$)"
 )
@@ -155,7 +156,11 @@ def with_spans(docs: DataFrame, text_col: str, base_name: str, all_name: str) ->
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, base_spans, all_spans (arrays of (start, kind, end)), base, spans (joined)."""
     found = with_spans(docs.select(F.col(id_col), F.col(text_col).alias("_text")), "_text", "base_spans", "all_spans")
-    counts = {f"n_{k}": F.size(F.filter("base_spans", lambda s, n=n: s["kind"] == n)).cast("long") for n, k in enumerate(KINDS[:3])}
+
+    def count(kind: int) -> Column:  # a lambda's second parameter, default or not, would be the span's place
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": count(n) for n, k in enumerate(KINDS[:3])}
     return found.select(id_col, *[c.alias(n) for n, c in counts.items()], "base_spans", "all_spans", _joined(F.col("base_spans")).alias("base"), _joined(F.col("all_spans")).alias("spans"))
 
 
