@@ -53,13 +53,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: s
 
 
 def near_pairs(points: DataFrame, key: str, x: str, y: str, distance: int) -> DataFrame:
-    """Pairs (a < b) of points within a distance, by cells of that size: each point meets its own and the 8 cells around it."""
+    """Pairs (a < b) of points within a distance, by cells of that size: each point meets its own and the 8 cells around it.
+
+    A cell meets itself and four of the cells around it, so that two cells meet once. Sorted runs are merged: Spark's size
+    check doesn't see that the copies for cells multiply the rows, and would broadcast them all through the driver.
+    """
     cell = lambda c: F.floor(F.col(c) / distance).cast("bigint")
-    own = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("cx"), cell(y).alias("cy"))
-    around = [F.struct((cell(x) + dx).alias("cx"), (cell(y) + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    other = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), F.explode(F.array(*around)).alias("_c")).select("b", "bx", "by", "_c.cx", "_c.cy")
-    square = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    return own.join(other, ["cx", "cy"]).where((F.col("a") < F.col("b")) & (square <= distance * distance)).select("a", "b", square.alias("square"))
+    own = points.select(F.col(key).alias("k"), F.col(x).alias("kx"), F.col(y).alias("ky"), cell(x).alias("cx"), cell(y).alias("cy"))
+    around = [F.struct((cell(x) + dx).alias("cx"), (cell(y) + dy).alias("cy"), F.lit(dx == dy == 0).alias("same")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]
+    other = points.select(F.col(key).alias("o"), F.col(x).alias("ox"), F.col(y).alias("oy"), F.explode(F.array(*around)).alias("_c")).select("o", "ox", "oy", "_c.cx", "_c.cy", "_c.same")
+    square = (F.col("kx") - F.col("ox")) * (F.col("kx") - F.col("ox")) + (F.col("ky") - F.col("oy")) * (F.col("ky") - F.col("oy"))
+    once = (F.col("k") < F.col("o")) | (~F.col("same") & (F.col("k") > F.col("o")))
+    met = own.hint("merge").join(other, ["cx", "cy"]).where(once & (square <= distance * distance))
+    return met.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b"), square.alias("square"))
 
 
 def sign_hash(vector: Column, bits: int = 64) -> Column:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -246,3 +247,15 @@ def test_report_status_moves(spark, tmp_path):
     assert store.append_status(spark, log, changes(("r", "pending", 1), ("s", "approved", 1)), "report", "report_id").select("report_id", "previous").collect() == [("s", None)]
     assert store.append_status(spark, log, changes(("r", "resolved", 3), ("r", "approved", 2), ("r", "pending", 4)), "report", "report_id").select("state", "previous").collect() == [("pending", "resolved")]
     assert sorted(r.state for r in spark.read.parquet(log).collect()) == ["approved", "pending", "resolved"]
+
+
+def test_near_pairs_meet_once_and_are_never_broadcast(spark):
+    rnd = random.Random(3)
+    rows = [(n, rnd.randint(-60, 60), rnd.randint(-60, 60)) for n in rnd.sample(range(1000), 150)]
+    pairs = joins.near_pairs(spark.createDataFrame(rows, "k long, x long, y long"), "k", "x", "y", 10)
+    want = sorted((a, b, (ax - bx) ** 2 + (ay - by) ** 2) for a, ax, ay in rows for b, bx, by in rows if a < b and (ax - bx) ** 2 + (ay - by) ** 2 <= 100)
+    assert sorted(map(tuple, pairs.collect())) == want and len(want) > 50
+    small = spark.range(50).selectExpr("id as k", "id * 7 as x", "id * 3 as y")  # a size that Spark would broadcast
+    near = joins.near_pairs(small, "k", "x", "y", 10)
+    near.collect()
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
