@@ -11,7 +11,11 @@ similarity of 0.8 the cosine of two sets is 8/9 at least, so a bit differs with
 A pair of sets of LEAST shingles or more that differs in over MOST bits is dropped unread: of 256 bits, a pair of the
 similarity has over 80 differing ones with a chance of 3e-11.
 
-Equal sets are one class. Keys travel as arrays dealt to buckets by key, and a bucket sorts its keys. Runs of up to SHORT
+Equal sets are one class. Classes that the caller's ``links`` finds (pigeonring on the first word of the fingerprints) are
+counted first; each has the least class that it is linked with as its label. Keys travel with labels, and classes of one
+label don't meet again.
+
+Keys travel as arrays dealt to buckets by key, and a bucket sorts its keys. Runs of up to SHORT
 classes give all their pairs at once. In longer ones each class meets the run's least class first, then those that its
 fingerprint is nearest to, and all others at last; a pair whose classes are in one group by then is never counted. So a
 ball of near copies costs a few comparisons a class. Runs beyond BLOCK are dealt out as pairs of blocks. The partners of
@@ -23,7 +27,7 @@ Shingles are told apart by 64-bit hashes, as are texts by hash and length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +134,8 @@ def _sampled(size: int):
 
 
 def _dealt(buckets: int):
-    """For mapInArrow over (cid, n, keys): (bucket, rows), rows being arrays of (key, cid, n, whether the key is an index key)."""
-    kind = np.dtype([("key", "<u8"), ("cid", "<i8"), ("n", "<i4"), ("index", "?")])
+    """For mapInArrow over (cid, n, label, keys): (bucket, rows), rows being arrays of (key, cid, label, n, whether the key is an index key)."""
+    kind = np.dtype([("key", "<u8"), ("cid", "<i8"), ("label", "<i8"), ("n", "<i4"), ("index", "?")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -146,10 +150,10 @@ def _dealt(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "rows"])
 
         for b in batches:
-            for cid, n, keys in zip(b.column("cid").to_pylist(), b.column("n").to_pylist(), b.column("keys").to_pylist(), strict=True):
+            for cid, n, label, keys in zip(*(b.column(c).to_pylist() for c in ("cid", "n", "label", "keys")), strict=True):
                 if n:
                     part = np.empty(len(keys) // 8, kind)
-                    part["key"], part["cid"], part["n"] = np.frombuffer(keys, "<u8"), cid, n
+                    part["key"], part["cid"], part["label"], part["n"] = np.frombuffer(keys, "<u8"), cid, label, n
                     part["index"] = np.arange(len(part)) < index(n)
                     held.append(part)
             if sum(map(len, held)) >= HELD:
@@ -173,7 +177,7 @@ def _meet(kind: np.dtype):
 
     def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows = rows[np.lexsort((rows["cid"], rows["n"], rows["key"]))]
-        key, cid, n, first = (np.ascontiguousarray(rows[c]) for c in ("key", "cid", "n", "index"))
+        key, cid, label, n, first = (np.ascontiguousarray(rows[c]) for c in ("key", "cid", "label", "n", "index"))
         group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
         sizes = np.bincount(group)
         few = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= SHORT))
@@ -183,13 +187,13 @@ def _meet(kind: np.dtype):
             a, b = (x[group[a] == group[b]] for x in (a, b))
             if not len(a):
                 break
-            good = first[a] & (NUM * n[b] <= DEN * n[a])
+            good = first[a] & (NUM * n[b] <= DEN * n[a]) & (label[a] != label[b])
             found.append(np.stack([cid[a[good]], cid[b[good]]], axis=1))
         many = np.flatnonzero(sizes[group] > SHORT)
         if len(many):
             least = np.full(len(sizes), np.iinfo(np.int64).max)
             np.minimum.at(least, group[many], cid[many])
-            found.append(np.stack([least[group[many]], cid[many]], axis=1))
+            found.append(np.stack([least[group[many]], cid[many]], axis=1)[label[many] != least[group[many]]])
         every = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         every = every[every[:, 0] != every[:, 1]]
         every = _pairs(every[:, 0], every[:, 1])
@@ -339,8 +343,11 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return key[order], n[order]
 
 
-def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, hash and chars (-1 for null) of the text, component: the least id of the texts linked with it; null for a null id, which links nothing."""
+def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int, links: Callable[[Scratch, DataFrame], DataFrame]) -> DataFrame:
+    """id, hash and chars (-1 for null) of the text, component: the least id of the texts linked with it; null for a null id, which links nothing.
+
+    ``links`` takes (cid, f0), the classes and the first words of their fingerprints, and returns pairs (u, v), u < v, to count first.
+    """
     scratch = Scratch(spark, "jaccard")
     text = F.col(text_col)
     given = docs.select(F.col(id_col).alias("id"), text.alias("text"), *(c.alias(n) for c, n in zip(text_hash(text), ("hash", "chars"), strict=True)))
@@ -391,10 +398,13 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
 
     buckets = max(1, total // BUCKET + 1)
     deal, kind = _dealt(buckets)
-    met = classes.select("cid", "n", "keys").mapInArrow(deal, "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    linked = verified(scratch.cut(near(links(scratch, classes.where("n > 0").select("cid", "f0")).distinct())))
+    labels = linked.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
+    labelled = classes.select("cid", "n", "keys").join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
+    met = labelled.select("cid", "n", "label", "keys").mapInArrow(deal, "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     met = scratch.cut(met.mapInArrow(_meet(kind), "u bigint, v bigint, run bigint, cid bigint, n int, index boolean"))
     first = scratch.cut(near(met.where("run is null").select("u", "v").distinct()))
-    edges = verified(first)
+    edges = linked.union(verified(first))
     long_runs = met.where("run is not null").select("run", "cid", "n", "index")
     if long_runs.limit(1).count():
         members = scratch.cut(_blocks(long_runs.select("run", "cid", "index")).join(classes.select("cid", "n", *_WORDS), "cid"))

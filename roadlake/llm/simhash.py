@@ -13,8 +13,9 @@ the edges of a spanning forest, never all pairs. Runs longer than BLOCK are deal
 holds an unbounded group. Components follow by star rounds over the classes' least ids.
 
 ``wide_groups`` serves a looser similarity (Jaccard of shingles of 0.8 and more), which no number of differing bits stands
-for. There texts meet under shingles (``jaccard``), fingerprints of 256 bits of the sets of shingles drop the pairs that
-differ in more bits than such a similarity leaves room for, and the shingles of the other pairs are counted.
+for. The same pigeonring search on the first 64 bits of the fingerprints of the sets of shingles comes first, and its links
+are counted. For the rest texts meet under shingles (``jaccard``), fingerprints of 256 bits drop the pairs that differ in
+more bits than such a similarity leaves room for, and the shingles of the other pairs are counted.
 
 Defined results: a null or empty text has no words and the fingerprint zero, linked like any other; rows with a null id
 are returned with a null component and link nothing; repeated rows are all returned; empty tables give no rows; other
@@ -221,6 +222,13 @@ def _link(scratch: Scratch, keyed: DataFrame, ring: Ring) -> DataFrame:
     return keyed.select("slot", "key", "part", "rep", "f0").repartition("slot", "key", "part").sortWithinPartitions("slot", "key", "part").mapInArrow(_runs(ring), f"u {rep}, v {rep}")
 
 
+def _keyed(classes: DataFrame, ring: Ring) -> DataFrame:
+    """(slot, key, rep, f0): each class of (rep, f0) under every key of the ring."""
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in ring.key_masks]
+    each = F.explode(F.array(*[F.struct(F.lit(n).cast("short").alias("slot"), F.col("f0").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(signed)]))
+    return classes.withColumn("_k", each).select("_k.slot", "_k.key", "rep", "f0")
+
+
 def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, max_bits: int = 4) -> DataFrame:
     """id, fingerprint (64 bits as a long), component_id: exact components of the links at ``max_bits`` (up to 4) or fewer bits."""
     if not 0 <= max_bits <= 4:
@@ -228,14 +236,8 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     scratch = Scratch(spark, "simhash")
     prints = scratch.cut(fingerprints(docs, id_col, text_col, size))
     ring = Ring(max_bits, 6, 4) if max_bits == 4 else Ring(max_bits, max_bits + 1, 1)
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in ring.key_masks]
-
-    def keys(classes: DataFrame) -> DataFrame:
-        each = F.explode(F.array(*[F.struct(F.lit(n).cast("short").alias("slot"), F.col("f0").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(signed)]))
-        return classes.withColumn("_k", each).select("_k.slot", "_k.key", "rep", "f0")
-
     classes = scratch.cut(prints.where("id is not null").groupBy("f0").agg(F.min("id").alias("rep")))
-    found = components(spark, scratch.cut(_link(scratch, keys(classes), ring)), scratch)
+    found = components(spark, scratch.cut(_link(scratch, _keyed(classes, ring), ring)), scratch)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("f0", F.coalesce("component", "rep").alias("component"))
     out = prints.join(named, "f0", "left")
     return out.select(F.col("id").alias(id_col), F.col("f0").alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
@@ -246,7 +248,12 @@ def wide_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     The hash (``jaccard.text_hash``) and length tell rows apart that share an id and have different texts.
     """
-    out = jaccard_groups(spark, docs, id_col, text_col, size)
+    ring = Ring(4, 6, 4)
+
+    def links(scratch: Scratch, classes: DataFrame) -> DataFrame:
+        return _link(scratch, _keyed(classes.withColumnRenamed("cid", "rep"), ring), ring)
+
+    out = jaccard_groups(spark, docs, id_col, text_col, size, links)
     return out.select(F.col("id").alias(id_col), F.col("component").alias("component_id"), F.col("hash").alias("text_hash"), F.col("chars").alias("text_chars"))
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from roadlake.llm import jaccard as J
@@ -96,3 +98,18 @@ def test_similar_sets_share_a_prefix_key():
         assert set(sorted(small)[: J.index(len(small))]) & set(sorted(large)[: J.probe(len(large))])
         met += 1
     assert met > 1000
+
+
+def test_pigeonring_links_come_first_and_do_not_meet_again(spark, monkeypatch):
+    rows, made = corpus(16, 40), []
+    link = S._link
+    monkeypatch.setattr(S, "_link", lambda *a: made.append(link(*a)) or made[-1])
+    groups = S.wide_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in groups.collect()} == brute(rows)[0]
+    assert len(made) == 1 and made[0].count() > 0
+    for size in (3, 40):  # runs of both kinds
+        rows = [(5, c, 0 if c < 2 else c, 100, True) for c in range(size)]
+        kind = J._dealt(1)[1]
+        batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.array(rows, kind).tobytes()], pa.binary())], ["bucket", "rows"])
+        pairs = {(u, v) for b in J._meet(kind)(iter([batch])) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True) if u is not None}
+        assert (0, 1) not in pairs and (0, 2) in pairs
