@@ -3,7 +3,8 @@
 Candidates come from prefix filtering (Chaudhuri et al., 2006; Xiao et al., 2008). All shingles have one order, common ones
 last. Two sets that reach the similarity share a shingle among the first ``probe`` ones of the larger set and the first
 ``index`` ones of the smaller, so texts that meet under no such key can't be similar, whatever the order is. A sample says
-which shingles are common: it affects the number of candidates and never the result. Every candidate pair's similarity is
+which shingles are common: it affects the number of candidates and never the result. It is a share of the documents: with
+a fixed number of them, shingles that are too rare for it would get longer runs as the input grows. Every candidate pair's similarity is
 counted on the texts' own sets, and only pairs that reach the threshold are linked.
 
 Most candidates share little, so fingerprints come first: the SimHash, of BITS bits, of each set of shingles. At a
@@ -15,8 +16,10 @@ Equal sets are one class. Classes that the caller's ``links`` finds (pigeonring
 counted first; each has the least class that it is linked with as its label. Keys travel with labels, and classes of one
 label don't meet again.
 
-Keys travel as arrays dealt to buckets by key, and a bucket sorts its keys. Runs of up to SHORT
-classes give all their pairs at once. In longer ones each class meets the run's least class first, then those that its
+Keys travel as arrays dealt to buckets by key, and a bucket sorts its keys. A key brings the one before it in its set's
+order: two classes with the same key before have met there, so a pair is given once for each stretch of keys that it
+shares, not by each bucket that has one of them. Runs of up to SHORT
+classes give their pairs at once. In longer ones each class meets the run's least class first, then those that its
 fingerprint is nearest to, and all others at last; a pair whose classes are in one group by then is never counted. So a
 ball of near copies costs a few comparisons a class. Runs beyond BLOCK are dealt out as pairs of blocks. The partners of
 a class travel as one list; lists of one neighbourhood are counted together, PARTNERS of them at a time, so that a set of
@@ -28,6 +31,7 @@ Shingles are told apart by 64-bit hashes, as are texts by hash and length.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -36,26 +40,30 @@ from pyspark.sql import functions as F
 
 from roadlake.llm.components import components
 from roadlake.llm.fingerprints import LOWER, simhash
-from roadlake.llm.shared import Scratch
+from roadlake.llm.shared import Scratch, conf
 
 #: The least similarity as a fraction: exact in integers.
 NUM, DEN = 4, 5
-#: Documents that say which shingles are common, in how many of them such a shingle occurs, and how many are told apart.
-SAMPLE, COMMON, LISTED = 10_000, 3, 200_000
+#: One of so many documents says which shingles are common, as do SAMPLE at least; in how many of them such a shingle occurs, and how many are told apart.
+SHARE, SAMPLE, COMMON, LISTED = 5, 10_000, 3, 200_000
 #: Words of 64 bits of a fingerprint, the bits that may differ, and the shingles from which on fingerprints are trusted.
 WIDTH, MOST, LEAST = 4, 80, 64
 #: Runs of up to this many classes give all their pairs at once.
 SHORT = 16
 #: Places, by nearness, of the classes that a class of a longer run meets in each round.
 ROUNDS = ((0, 8), (8, None))
+#: Keys before a key that say whether two classes have met already.
+BEFORE = 1
 #: Rows of a run that one task compares.
 BLOCK = 1 << 14
 #: Classes whose partners are counted together, and partners at a time, on average.
 TOGETHER, PARTNERS = 64, 4096
 #: Characters of text whose keys make a bucket, at about one key for 30 characters.
-BUCKET = 1 << 24
+BUCKET = 1 << 23
+#: Rows of an Arrow batch.
+ROWS = 2048
 #: Keys or pairs that are held before they are passed on.
-HELD = 1 << 20
+HELD = 1 << 18
 
 _POWERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
@@ -134,8 +142,11 @@ def _sampled(size: int):
 
 
 def _dealt(buckets: int):
-    """For mapInArrow over (cid, n, label, keys): (bucket, rows), rows being arrays of (key, cid, label, n, whether the key is an index key)."""
-    kind = np.dtype([("key", "<u8"), ("cid", "<i8"), ("label", "<i8"), ("n", "<i4"), ("index", "?")])
+    """For mapInArrow over (cid, n, label, keys): (bucket, rows), rows being arrays of (key, cid, label, n, before).
+
+    ``before`` has whether the key is an index key as its lowest bit, and the keys before it in the others: 0 where there is none.
+    """
+    kind = np.dtype([("key", "<u8"), ("cid", "<i8"), ("label", "<i8"), ("n", "<i4"), ("before", "<u8", (BEFORE,))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -154,7 +165,9 @@ def _dealt(buckets: int):
                 if n:
                     part = np.empty(len(keys) // 8, kind)
                     part["key"], part["cid"], part["label"], part["n"] = np.frombuffer(keys, "<u8"), cid, label, n
-                    part["index"] = np.arange(len(part)) < index(n)
+                    part["before"] = (np.arange(len(part)) < index(n))[:, None]
+                    for back in range(1, min(BEFORE + 1, len(part))):
+                        part["before"][back:, back - 1] |= part["key"][:-back] & ~np.uint64(1)
                     held.append(part)
             if sum(map(len, held)) >= HELD:
                 yield flush()
@@ -173,13 +186,22 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _meet(kind: np.dtype):
-    """For mapInArrow over (bucket, rows) sorted by bucket: candidate pairs (u, v, null ..), and the members (run, cid, n, index) of long runs."""
+    """For mapInArrow over (bucket, rows) sorted by bucket: candidate pairs (u, v, null ..), and the members (run, cid, n, index) of long runs.
+
+    Rows that have the same key before are no pair here. Keys are first ones of their sets, so both classes have that key
+    too, in the same roles: they are a pair or members of a long run there, or at the first of the keys that go on so.
+    Runs of one label give nothing.
+    """
 
     def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows = rows[np.lexsort((rows["cid"], rows["n"], rows["key"]))]
-        key, cid, label, n, first = (np.ascontiguousarray(rows[c]) for c in ("key", "cid", "label", "n", "index"))
-        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        key, cid, label, n, before = (np.ascontiguousarray(rows[c]) for c in ("key", "cid", "label", "n", "before"))
+        first, before = (before[:, 0] & np.uint64(1)).astype(bool), before >> np.uint64(1)
+        starts = np.r_[True, key[1:] != key[:-1]]
+        group = np.cumsum(starts) - 1
+        at = np.flatnonzero(starts)
         sizes = np.bincount(group)
+        sizes[np.minimum.reduceat(label, at) == np.maximum.reduceat(label, at)] = 1
         few = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= SHORT))
         found = []
         for step in range(1, SHORT):
@@ -188,6 +210,8 @@ def _meet(kind: np.dtype):
             if not len(a):
                 break
             good = first[a] & (NUM * n[b] <= DEN * n[a]) & (label[a] != label[b])
+            for x, y in product(range(BEFORE), repeat=2):
+                good &= (before[a, x] != before[b, y]) | (before[a, x] == 0)
             found.append(np.stack([cid[a[good]], cid[b[good]]], axis=1))
         many = np.flatnonzero(sizes[group] > SHORT)
         if len(many):
@@ -334,7 +358,8 @@ def text_hash(text: Column) -> tuple[Column, Column]:
 
 def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of the shingles that are most frequent in a sample."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
+    rows = docs.count()
+    share = min(1.0, max(SAMPLE, rows / SHARE) / max(1, rows))
     some = docs.where(F.pmod(F.col("hash"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).dropDuplicates(["hash"]).select("text")
     found = some.mapInArrow(_sampled(size), "key bigint").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     rows = found.orderBy(F.desc("n"), "key").limit(LISTED).toArrow()
@@ -348,6 +373,11 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
 
     ``links`` takes (cid, f0), the classes and the first words of their fingerprints, and returns pairs (u, v), u < v, to count first.
     """
+    with conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)):
+        return _groups(spark, docs, id_col, text_col, size, links)
+
+
+def _groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int, links: Callable[[Scratch, DataFrame], DataFrame]) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     text = F.col(text_col)
     given = docs.select(F.col(id_col).alias("id"), text.alias("text"), *(c.alias(n) for c, n in zip(text_hash(text), ("hash", "chars"), strict=True)))

@@ -28,11 +28,10 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Spark deletes a query's shuffle files when it ends: the written table holds the result."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The setting holds inside."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -52,7 +51,7 @@ class Scratch:
         """Write a table and read it again: its lineage ends there, and a lost executor loses none of it."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        with _shuffles_dropped(self.spark):
+        with conf(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # Spark deletes a query's shuffle files when it ends
             df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001

@@ -113,3 +113,42 @@ def test_pigeonring_links_come_first_and_do_not_meet_again(spark, monkeypatch):
         batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.array(rows, kind).tobytes()], pa.binary())], ["bucket", "rows"])
         pairs = {(u, v) for b in J._meet(kind)(iter([batch])) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True) if u is not None}
         assert (0, 1) not in pairs and (0, 2) in pairs
+
+
+def met_in_buckets(sets, buckets):
+    """The pairs that _meet gives for sets of keys in order, over all buckets."""
+    deal, kind = J._dealt(buckets)
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([len(s) * 5 for s in sets], pa.int32()), pa.array(range(len(sets))), pa.array([np.array(s, "<u8").tobytes() for s in sets])], ["cid", "n", "label", "keys"])
+    dealt = pa.Table.from_batches(deal(iter([given]))).sort_by("bucket").to_batches()
+    return [(u, v) for b in J._meet(kind)(iter(dealt)) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True) if u is not None]
+
+
+def test_a_pair_is_given_once_for_each_stretch_of_shared_keys():
+    keys = [int(k) for k in np.random.default_rng(2).integers(1 << 60, size=40)]
+    assert met_in_buckets([keys, keys], 64) == [(0, 1)]
+    other = [*keys[:9], 7, *keys[9:]]
+    assert 1 <= len(met_in_buckets([keys, other], 64)) <= 2
+    assert met_in_buckets([keys, [5, 6, keys[3], 8]], 64) == []  # the smaller set is too small for the similarity
+    assert len(met_in_buckets([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]], 3)) == 3
+
+
+def test_runs_of_one_label_give_no_members():
+    kind = J._dealt(1)[1]
+    rows = np.array([(5, c, 0, 100, True) for c in range(40)], kind)
+    assert not list(J._meet(kind)(iter([pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([rows.tobytes()])], ["bucket", "rows"])])))
+
+
+def test_many_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(J, "BUCKET", 1 << 12)
+    rows = corpus(31, 80)
+    got = {r.doc_id: r.component_id for r in S.wide_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)[0]
+
+
+def test_common_shingles_are_found_at_every_size(spark, monkeypatch):
+    """The sample grows with the documents: a shingle of a tenth of them is common, however few SAMPLE are."""
+    monkeypatch.setattr(J, "SAMPLE", 5)
+    rows = [(n, f"w{n} x{n} y{n} z{n} " + ("one two three four five" if n % 10 == 0 else f"v{n}")) for n in range(600)]
+    at, chars = J.text_hash(J.F.col("text"))
+    docs = spark.createDataFrame(rows, "id long, text string").withColumns({"hash": at, "chars": chars})
+    assert J.shingle_set(b"one two three four five", 5)[0] in J.common_shingles(docs, 5)[0]
